@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as D
+from . import language_id as L
 from . import mixing as M
+from . import quality_classifier as C
 from . import quality_rules as R
 from . import simhash as S
 from . import token_counts as T
@@ -34,6 +36,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -49,8 +59,10 @@ def op10_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_mixing_to_target_weights": op10_mixing_to_target_weights,
 }
 
