@@ -11,6 +11,8 @@ from . import mixing as M
 from . import quality_classifier as C
 from . import quality_rules as R
 from . import simhash as S
+from . import substring_dedup as U
+from . import suffix_dedup as X
 from . import token_counts as T
 
 
@@ -40,6 +42,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +70,8 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
@@ -111,5 +123,14 @@ o as (select s.doc_id, s.size, g.source_size, g.target, cast(round(g.target) as
   from s join g on s.source is not distinct from g.source)
 select doc_id, size, source_size, target, cast(case when source_size = 0 then 0 else
   (budget // source_size) * size + least(greatest(budget - (budget // source_size) * source_size - start, 0), size) end as bigint) taken from o
+""",
+    "op6_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) s from d, unnest(range(1, len(w) - 33)) t(i) where len(w) >= 35),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by s) k from g) where k > 1),
+p as (select doc_id, list(distinct q) ps from (select doc_id, unnest(range(i, i + 35)) q from r) group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(ps), 0) as bigint) n_removed,
+  sha256(coalesce(array_to_string(case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' '), '')) kept_sha256
+from d left join p using (doc_id)
 """,
 }
