@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as D
 from . import language_id as L
+from . import line_dedup as N
 from . import mixing as M
 from . import quality_classifier as C
 from . import quality_rules as R
@@ -42,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
