@@ -1,0 +1 @@
+"""Readers and writers of models, word vectors, food tables and parsed records."""
