@@ -32,6 +32,9 @@ DIMENSIONAL = (
     ("DP", "<LENGTH><SLENGTH|PLENGTH>?<IN>?<DIM>*"),
 )
 
+_UNITS = frozenset(L.UNIT_WORDS)
+_UNITS_AND_SIZES = _UNITS | set(L.SIZES)
+
 
 @cache
 def _compiled(pattern: str) -> re.Pattern:
@@ -67,13 +70,12 @@ def _not_or(texts: list[str], tags: list[str], r: range) -> bool:
 
 def multiple_ingredients(texts: list[str], tags: list[str]) -> list[list[int]]:
     """Phrases such as ``butter or olive oil``, without leading units and sizes."""
-    skip = {*L.UNIT_WORDS, *L.SIZES}
     out = []
     for _, r in chunks(tags, MULTIPLE):
         if _not_or(texts, tags, r):
             continue
         phrase = list(r)
-        while phrase and texts[phrase[0]].lower() in skip:
+        while phrase and texts[phrase[0]].lower() in _UNITS_AND_SIZES:
             phrase.pop(0)
         if phrase and tags[phrase[0]] != "CC":
             out.append(phrase)
@@ -82,11 +84,10 @@ def multiple_ingredients(texts: list[str], tags: list[str]) -> list[list[int]]:
 
 def sentence_splits(texts: list[str], feature_texts: list[str], tags: list[str]) -> list[int]:
     """Where another ingredient begins within the sentence."""
-    units, sizes = set(L.UNIT_WORDS), set(L.SIZES)
 
     def own(text: str, tag: str) -> str:
         low = text.lower()
-        return "UNIT" if low in units else "SIZE" if low in sizes else "HALF" if low == "half" else tag
+        return "UNIT" if low in _UNITS else "SIZE" if low in L.SIZES else "HALF" if low == "half" else tag
 
     tags = [own(t, g) for t, g in zip(texts, tags)]
     return [r.start for label, r in chunks(tags, COMPOUND) if label.startswith("CS_") and not _not_or(feature_texts, tags, r)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,7 @@ def parse_unit_expression(text: str) -> Unit | None:
     return Unit(" * ".join(sorted(names)), "dimensionless", math.nan)
 
 
+@lru_cache(maxsize=65536)
 def to_unit(text: str, system: str = "us_customary") -> Unit | str:
     """The registered unit of a unit's text, or the text where there is none."""
     if "-" in text or text.lower() in MISREAD:
@@ -169,19 +171,21 @@ def convert(value: float, unit: Unit, target: Unit | str, density: float = DENSI
 
 def plural_units(text: str, custom: dict[str, str] | None = None) -> str:
     """Each singular unit in the text becomes plural, one unit after the other."""
-    for pattern, plural in _plural_patterns(tuple((custom or {}).items())):
-        text = pattern.sub(plural, text)
-    return text
+    return _plural(text, tuple((custom or {}).items()))
 
 
-_patterns: dict[tuple, list] = {}
+@lru_cache(maxsize=65536)
+def _plural(text: str, custom: tuple) -> str:
+    for singular, pattern, plural in _plural_patterns(custom):
+        if singular in text:
+            text = pattern.sub(plural, text)
+    return text
 
 
-def _plural_patterns(custom: tuple) -> list:
-    if custom not in _patterns:
-        units = L.UNITS | dict(custom)
-        _patterns[custom] = [(re.compile(rf"(?<![A-Za-z0-9_])({re.escape(s)})(?![A-Za-z0-9_])"), p) for p, s in units.items()]
-    return _patterns[custom]
+@lru_cache(maxsize=64)
+def _plural_patterns(custom: tuple) -> list[tuple[str, re.Pattern, str]]:
+    units = L.UNITS | dict(custom)
+    return [(s, re.compile(rf"(?<![A-Za-z0-9_])({re.escape(s)})(?![A-Za-z0-9_])"), p) for p, s in units.items()]
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
