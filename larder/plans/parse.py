@@ -163,12 +163,16 @@ def prepare(df: DataFrame, column: str = "sentence") -> DataFrame:
     return add_normalised(said).withColumn("tokens", tokens(F.col("normalised")))
 
 
-def parse(df: DataFrame, column: str = "sentence", options: Options | None = None, lang: str = "en", models: Models | None = None, foods=None) -> DataFrame:
+def parse(
+    df: DataFrame, column: str = "sentence", options: Options | None = None, lang: str = "en", models: Models | None = None, foods=None, partitions: int | None = None
+) -> DataFrame:
     """``df`` with a column ``parsed``: the record of each sentence. Works on streaming DataFrames too.
 
-    ``foods`` (a ``FoodIndex``) is needed for food matching beyond the built-in overrides.
+    ``foods`` (a ``FoodIndex``) is needed for food matching beyond the built-in overrides. ``partitions`` deals the rows out
+    first, for inputs that come in fewer partitions than there are cores.
     """
     options = check_options(options, lang)
+    df = df.repartition(partitions) if partitions else df
     crossed = _crossing(prepare(df, column), options, models or Models(), stages=False)
     if options.foundation_foods:
         from ..operators.foods import add_foods

@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _pick(words: list[str], key: str) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(key, F.lit(len(words))) + 1).cast("int"))
 
@@ -39,7 +43,7 @@ _VOLUMES = ["cup", "tbsp", "teaspoon", "litre"]
 def _parsed_parts(spark: SparkSession, sf_dir: str, *words: Column | str) -> DataFrame:
     """Parts with a sentence written from columns and literal words, parsed."""
     said = F.concat_ws(" ", *[F.lit(w) if isinstance(w, str) else w.cast("string") for w in words], F.col("p_name"))
-    return P.parse(table(spark, sf_dir, "part").select("p_partkey", "p_size", said.alias("sentence")))
+    return P.parse(table(spark, sf_dir, "part").select("p_partkey", "p_size", said.alias("sentence")), partitions=_cores(spark))
 
 
 def _size(n: int = 0) -> Column:
@@ -258,7 +262,7 @@ def inspect_benchmark(spark, sf_dir):
 
 
 def parse_conversations(spark, sf_dir):
-    found = P.parse(table(spark, sf_dir, "conversations"), "text")
+    found = P.parse(table(spark, sf_dir, "conversations"), "text", partitions=_cores(spark))
     return found.select("conv_id", "turn", F.size("parsed.name").alias("n_names"), F.size("parsed.amount").alias("n_amounts"))
 
 
