@@ -5,7 +5,9 @@ the least and the greatest hash of their regions' contents.  Anchors of one regi
 done.  Bitmaps of bounded size keep those met again, and those met with different contents.
 
 Second pass: regions of repeated anchors are dealt out by anchor.  Regions of equal
-contents repeat each other in all their windows.  Where contents differ, one region of
+contents repeat each other in all their windows.  A task that meets a content again knows
+at once that the later place is covered, and sends joined spans under keys of their own in
+its stead: of a content, however frequent, few rows a task meet under its anchor.  Where contents differ, one region of
 each content goes to ``compare``, which finds the windows that they share.  A content is
 sent once from each task, and only for anchors that need it.
 
@@ -175,33 +177,54 @@ def covered(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def occurrences():
         some, mixed = sent.value
-        shown: set[int] = set()
+        seen: dict[tuple[int, int], list] = {}
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             buf, offsets = K.string_buffer(part.column(1))
             units, starts, ends, first = kind.units(buf, offsets)
             r = W.regions(units, first, kind.window, kind.gram)
             keep = np.flatnonzero(sieve.passes(some, r.anchor))
-            need = sieve.passes(mixed, r.anchor[keep])
-            base = first[r.doc[keep]]
-            texts: list[bytes | None] = [None] * len(keep)
+            need = sieve.passes(mixed, r.anchor[keep]).tolist()
+            ids = part.column(0).to_pylist()
             raw = buf.tobytes()
-            for i in np.flatnonzero(need).tolist():
-                k = keep[i]
-                mark = int(r.content[k] ^ (r.anchor[k] << np.uint64(1)))
-                if mark not in shown:
-                    if len(shown) >= REMEMBERED:
-                        shown.clear()
-                    shown.add(mark)
-                    texts[i] = raw[starts[r.lo[k]] : ends[r.hi[k] - 1]]
-            at, lo, hi = (r.at[keep] - base).astype(np.int64), (r.lo[keep] - base).astype(np.int64), (r.hi[keep] - base).astype(np.int64)
+            base = first[r.doc]
+            at, lo, hi = r.at - base, r.lo - base, r.hi - base
+            shown: list[int] = []
+            texts: list[bytes | None] = []
+            sure: dict[int, list[tuple[int, int]]] = {}
+            places = zip(keep.tolist(), r.anchor[keep].tolist(), r.content[keep].tolist(), r.doc[keep].tolist(), at[keep].tolist(), need)
+            for k, anchor, content, doc, spot, differs in places:
+                rank = (ids[doc] is not None, ids[doc], spot)
+                before = seen.get((anchor, content))
+                if before is None:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[anchor, content] = [rank, 1]
+                    texts.append(raw[starts[r.lo[k]] : ends[r.hi[k] - 1]] if differs else None)
+                    shown.append(k)
+                    continue
+                before[1] += 1
+                if rank[:1] < before[0][:1] or (rank[0] == before[0][0] and rank[1:] < before[0][1:] if rank[0] else rank[2] < before[0][2]):
+                    before[0] = rank
+                elif before[1] > 2 or not kind.first_counts:
+                    sure.setdefault(doc, []).append((int(lo[k]), int(hi[k])))
+                    continue
+                texts.append(None)
+                shown.append(k)
+            rows = np.array(shown, dtype=np.int64)
+            spans = [(doc, a, b) for doc, found in sure.items() for a, b in _joined(found)]
+            done = len(spans)
+            spread = r.content[r.doc.searchsorted([s[0] for s in spans])] if done else np.zeros(0, dtype=np.uint64)
+            numbers = lambda x, own: pa.array(np.concatenate([x[rows], np.array(own, dtype=np.int64)]).astype(np.int64))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(r.anchor[keep].view(np.int64)),
-                    pa.array(r.content[keep].view(np.int64)),
-                    part.column(0).take(pa.array(r.doc[keep])),
-                    *(pa.array(x) for x in (at, lo, hi)),
-                    pa.array(texts, pa.binary()),
+                    pa.array(np.concatenate([r.anchor[rows], spread]).view(np.int64)),
+                    pa.array(np.concatenate([r.content[rows], spread]).view(np.int64), mask=np.arange(len(rows) + done) >= len(rows)),
+                    part.column(0).take(pa.array(np.concatenate([r.doc[rows], np.array([s[0] for s in spans], dtype=np.int64)]).astype(np.int64))),
+                    numbers(at, [0] * done),
+                    numbers(lo, [s[1] for s in spans]),
+                    numbers(hi, [s[2] for s in spans]),
+                    pa.array(texts + [None] * done, pa.binary()),
                 ],
                 columns,
             )
@@ -256,6 +279,9 @@ class _Walk:
         self.schema = batch.schema
         columns = [c.to_pylist() for c in batch.columns]
         for anchor, content, doc, at, lo, hi, text in zip(*columns):
+            if content is None:  # known to be covered where it was found
+                self._put(doc, lo, hi)
+                continue
             if anchor != self.anchor:
                 self._end_anchor()
                 self.anchor, self.content = anchor, None
