@@ -12,19 +12,22 @@ the automaton.
 Defined results: a null or empty text has no words and no hits; a null or wordless
 item has no window; equal items all count; rows that repeat are judged alone, and
 columns besides the two that are named pass through ``decontaminate`` untouched.
-Items of more than ``shard_bytes`` together are dealt into several automata, and
-the hits of all of them are united, so that a broadcast never outgrows that bound.
+Items of more than ``shard_bytes`` together are dealt into several automata, each with
+a pass of its own, so that a broadcast never outgrows that bound.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .automaton import SuffixAutomaton
@@ -36,7 +39,8 @@ _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = True
 _WORD_BYTE[0x80:] = True
 
-HIT_SCHEMA = "doc_id {id}, n_words bigint, n_hit bigint, spans array<struct<lo:bigint,hi:bigint>>, items array<string>"
+SPANS = "array<struct<lo:bigint,hi:bigint>>"
+WORDS, SPOTS, ITEMS = "__words", "__spots", "__items"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -151,18 +155,14 @@ class ItemIndex:
         return out
 
 
-def _shards(items: DataFrame, item_id: str, text: str, shard_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """Items dealt into lists of bounded size, one at a time: only one list is ever on the driver with its neighbours' ids."""
-    shards, size = [[]], 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    for row in rows.orderBy("i", "t").toLocalIterator():
-        n = len(row.t.encode("utf-8", "replace"))
-        if shards[-1] and size + n > shard_bytes:
-            shards.append([])
-            size = 0
-        shards[-1].append((row.i, row.t))
-        size += n
-    return shards
+def _shards(items: DataFrame, item_id: str, text: str, shard_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """Items dealt by hash into lists of about ``shard_bytes``, read one at a time; one empty list where there are none."""
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n = max(1, -(-total // shard_bytes))
+    dealt = F.pmod(F.xxhash64("i", F.lit("shard")), F.lit(n))
+    for k in range(n):
+        yield sorted((r.i, r.t) for r in rows.where(dealt == k).collect())
 
 
 def benchmark_hits(
@@ -176,54 +176,50 @@ def benchmark_hits(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """One row for each document: its word count, hit words, hit spans in word numbers, and items."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = HIT_SCHEMA.format(id=kind)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def scan(shard: list[tuple[str, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(shard)
-
-        def make():
-            index = ItemIndex(sent.value, window)
-
-            def work(part: pa.RecordBatch) -> pa.RecordBatch:
-                found = index.hits(*K.string_buffer(part.column(1)))
-                spans = [[{"lo": a, "hi": b} for a, b in x[2]] for x in found]
-                return pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([x[0] for x in found], pa.int64()),
-                        pa.array([x[1] for x in found], pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                        pa.array([x[3] for x in found], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "spans", "items"],
-                )
-
-            return work
-
-        return K.map_slices(narrow, ["doc_id", "text"], "text", schema, make)
-
-    found = [scan(shard) for shard in _shards(items, item_id, item_text, shard_bytes)]
-    if len(found) == 1:
-        return found[0]
-    # Several automata: every one scans all documents; equal (id, word count) rows stand for the same document.
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    united = every.groupBy("doc_id", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("parts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _hits(found, items, "text", item_id, item_text, window, shard_bytes, keep_text=False)
     merged = F.expr(
-        "aggregate(array_sort(parts), cast(array() as array<struct<lo:bigint,hi:bigint>>), (acc, s) -> "
+        f"aggregate(array_sort({SPOTS}), cast(array() as {SPANS}), (acc, s) -> "
         "if(size(acc) > 0 and element_at(acc, -1).hi >= s.lo, concat(slice(acc, 1, size(acc) - 1), "
         "array(named_struct('lo', element_at(acc, -1).lo, 'hi', greatest(element_at(acc, -1).hi, s.hi)))), concat(acc, array(s))))"
     )
-    return united.withColumn("spans", merged).select(
-        "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.hi - s.lo)").alias("n_hit"), "spans", "items"
-    )
+    spans = F.when(F.size(SPOTS) == 0, F.col(SPOTS)).otherwise(merged)
+    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.hi - s.lo)")
+    return found.select("doc_id", F.col(WORDS).alias("n_words"), spans.alias("spans"), F.col(ITEMS).alias("items")).select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+
+
+def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, shard_bytes: int, keep_text: bool) -> DataFrame:
+    """``docs`` with the numbers of words, hit spans and items of each row: a pass for each automaton, which is alone in memory
+    there and adds to what the passes before it found. Without ``keep_text`` the last pass leaves the text out."""
+    spark = docs.sparkSession
+    for name, kind in ((WORDS, "bigint"), (SPOTS, SPANS), (ITEMS, "array<string>")):
+        docs = docs.withColumn(name, F.lit(None).cast(kind))
+    shards = _shards(items, item_id, item_text, shard_bytes)
+    ahead = next(shards)
+    while ahead is not None:
+        shard, ahead = ahead, next(shards, None)
+        docs = _pass(docs, spark.sparkContext.broadcast(shard), text_col, window, keep_text or ahead is not None)
+    return docs
+
+
+def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_text: bool) -> DataFrame:
+    names = docs.columns
+    place, own = names.index(text_col), len(names) - 3
+    out = [i for i in range(own) if keep_text or i != place]
+    schema = StructType([docs.schema.fields[i] for i in [*out, own, own + 1, own + 2]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(sent.value, window)
+        for batch in batches:
+            for part in K.slices(batch, text_col):
+                found = index.hits(*K.string_buffer(part.column(place)))
+                spans = [(old or []) + [{"lo": a, "hi": b} for a, b in x[2]] for old, x in zip(part.column(own + 1).to_pylist(), found)]
+                texts = [sorted({*(old or []), *x[3]}) for old, x in zip(part.column(own + 2).to_pylist(), found)]
+                made = [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, part.column(own + 1).type), pa.array(texts, part.column(own + 2).type)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), *made], schema.names)
+
+    K.small_batches(docs)
+    return docs.mapInArrow(run, schema)
 
 
 def contaminated(n_words: Column, n_hit: Column, percent: int = 5) -> Column:
@@ -242,46 +238,39 @@ def decontaminate(
 ) -> DataFrame:
     """Drop documents beyond the coverage limit and cut hit spans out of the others.
 
-    All columns stay.  A text without hits is returned byte for byte; in others each
+    All columns stay, and nothing is shuffled or joined: rows that share an id are judged each.  A text without hits is returned byte for byte; in others each
     span is cut from its first word to its last, and what stood around it is kept.
     """
-    spark = docs.sparkSession
-    shards = [spark.sparkContext.broadcast(s) for s in _shards(items, item_id, item_text, SHARD_BYTES)]
     names = docs.columns
     place = names.index(text_col)
-    schema = docs.schema
+    spots = _hits(docs, items, text_col, item_id, item_text, window, SHARD_BYTES, keep_text=True).drop(WORDS, ITEMS)
 
-    def run(batches):
-        indexes = [ItemIndex(s.value, window) for s in shards]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, text_col):
-                buf, offsets = K.string_buffer(part.column(place))
-                found = [x.hits(buf, offsets) for x in indexes]
-                keep, cut = [], {}
-                for row in range(part.num_rows):
-                    n = found[0][row][0]
-                    spans = [s for f in found for s in f[row][2]]
-                    if not spans:
-                        keep.append(row)
-                        continue
-                    mask = K.union_lengths(*np.array(spans, dtype=np.int64).T, n)
-                    if int(mask.sum()) * 100 < n * percent:
-                        keep.append(row)
-                        cut[row] = _without(buf[offsets[row] : offsets[row + 1]], mask)
+                keep: list[int] = []
                 texts = part.column(place)
+                cut: dict[int, str] = {}
+                for row, spans in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    if spans:
+                        text = np.frombuffer(texts[row].as_py().encode("utf-8", "replace"), dtype=np.uint8)
+                        starts, ends, _ = K.find_words(K.LOWER[text], np.array([0, len(text)]), _WORD_BYTE)
+                        mask = K.union_lengths(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]), len(starts))
+                        if int(mask.sum()) * 100 >= len(starts) * percent:
+                            continue
+                        cut[row] = _without(text.tobytes(), starts, ends, mask)
+                    keep.append(row)
                 if cut:
-                    texts = pa.array([cut.get(i, None) if i in cut else texts[i].as_py() for i in range(part.num_rows)], texts.type)
-                columns = [texts if i == place else part.column(i) for i in range(part.num_columns)]
-                out = pa.RecordBatch.from_arrays(columns, schema=part.schema)
-                yield out if len(keep) == part.num_rows else out.take(pa.array(keep, pa.int64()))
+                    texts = pa.array([cut[i] if i in cut else texts[i].as_py() for i in range(part.num_rows)], texts.type)
+                columns = [texts if i == place else part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int64()))
 
     K.small_batches(docs)
-    return docs.mapInArrow(run, schema)
+    return spots.mapInArrow(run, docs.schema)
 
 
-def _without(text: np.ndarray, mask: np.ndarray) -> str:
-    starts, ends, _ = K.find_words(K.LOWER[text], np.array([0, len(text)]), _WORD_BYTE)
-    raw, out, at = text.tobytes(), [], 0
+def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
+    out, at = [], 0
     for lo, hi in zip(*K.runs_of(mask)):
         out.append(raw[at : starts[lo]])
         at = int(ends[hi - 1])
