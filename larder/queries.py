@@ -342,7 +342,7 @@ SQL = {
     "stop_word_runs": f"""select lower(t) word, count(*) n from (select unnest({_SPLIT}) t from documents) where lower(t) in ({', '.join("'" + w.replace("'", "''") + "'" for w in sorted(S.L.STOP_WORDS))}) group by 1""",
     "label_patterns": """select o_orderkey, len(regexp_extract_all(regexp_replace(translate(md5(o_orderkey::varchar), '0123456789', 'QQQQQUUUUU'), '[^QU]', '', 'g'), 'QUU'))::int n from orders""",
     "bm25_topk": f"""with d as (select doc_id doc, {_WORDS} w from documents), q as (select item_id "query", {_WORDS} w from benchmark),
-t as materialized (select count(*) n, avg(len(w)) avgdl from d), p as materialized (select doc, token, len(any_value(w)) dl, count(*) tf from (select doc, w, unnest(w) token from d) group by doc, token),
+t as materialized (select count(*) n, avg(len(w)) avgdl from d), p as materialized (select doc, token, dl, count(*) tf from (select doc, len(w) dl, unnest(w) token from d) group by doc, token, dl),
 f as (select token, ln((select n from t) / count(*)) idf from p group by token),
 a as (select "query", unnest(w) token, generate_subscripts(w, 1) place from q),
 s as (select "query", doc, round(list_sum(list(idf * tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / (select avgdl from t)) + tf) order by place)), 6) score from a join p using (token) join f using (token) group by all)
