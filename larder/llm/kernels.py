@@ -115,6 +115,27 @@ def find_words(buf: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_SPREAD = np.array([sum(1 << 8 * i for i in range(8) if b >> i & 1) for b in range(256)], dtype=U64)
+
+
+def bit_sums(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` hashes from ``starts``, which follow one another without gaps, how many have each of the 64 bits.
+
+    Eight counters of eight bits share a machine word; stretches of up to 255 hashes can't overflow them.
+    """
+    out = np.zeros((len(counts), 64), dtype=np.int64)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return out
+    stretches = -(-counts[some] // 255)
+    first = np.cumsum(stretches) - stretches
+    begin = np.repeat(starts[some], stretches) + 255 * (np.arange(int(stretches.sum())) - np.repeat(first, stretches))
+    octets = hashes[: starts[-1] + counts[-1]].astype("<u8").view(np.uint8).reshape(-1, 8)
+    packed = np.stack([np.add.reduceat(_SPREAD[octets[:, k]], begin) for k in range(8)], axis=1)
+    out[some] = np.add.reduceat(packed.astype("<u8").view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int64)
+    return out
+
+
 def map_slices(
     df: DataFrame,
     columns: list[str],

@@ -54,8 +54,7 @@ def _fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int, seed: int)
     out = np.zeros(len(counts), dtype=np.uint64)
     some = np.flatnonzero(n)
     if len(some):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, doc_start[some], axis=0, dtype=np.int32)
+        ones = K.bit_sums(hashes, doc_start[some], n[some])
         packed = np.packbits(ones * 2 > n[some][:, None], axis=1, bitorder="little")
         out[some] = packed.view("<u8").ravel()
     return out
