@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import lexicon as L
+from .literals import array_of, map_of
 
 BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 DIGIT = r"\p{Nd}"
@@ -101,10 +102,8 @@ def replace_string_ranges(c: Column) -> Column:
 
 def merge_duplicate_units(c: Column) -> Column:
     """``227 g - 283.5 g`` becomes ``227-283.5 g`` where both units are the same known unit."""
-    plural = F.create_map(*[F.lit(x) for kv in L.UNITS.items() for x in kv])
-    group = F.create_map(*[F.lit(x) for kv in L.SYNONYM_GROUP.items() for x in kv])
-    known = F.array(*[F.lit(u) for u in L.UNIT_WORDS])
-    lengths = F.array(*[F.lit(u) for u in L.LENGTH_UNITS])
+    plural, group = map_of(L.UNITS), map_of(L.SYNONYM_GROUP)
+    known, lengths = array_of(L.UNIT_WORDS), array_of(L.LENGTH_UNITS)
 
     def of(unit: Column) -> Column:
         return F.when(F.array_contains(known, unit), F.try_element_at(group, F.coalesce(F.try_element_at(plural, unit), unit)))

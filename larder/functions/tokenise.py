@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .literals import array_of, map_of
 from .normalise import BLANK, FRACTION_TOKEN
 
 _FULL_STOP = r"(?<!\.[\p{L}\p{N}_])\.$"
@@ -34,7 +35,7 @@ def is_range(c: Column) -> Column:
 
 
 def _is_simple_number(c: Column) -> Column:
-    words = F.array(*[F.lit(w) for w in L.NUMBER_WORDS])
+    words = array_of(L.NUMBER_WORDS)
     plain = c.rlike(FRACTION_TOKEN) | F.array_contains(words, F.lower(c)) | (c == "dozen")
     number = F.when(F.endswith(c, F.lit("x")), is_float(F.regexp_replace(c, "x$", ""))).otherwise(is_float(c))
     return (c != "00") & (plain | number)
@@ -53,12 +54,12 @@ def feature_text(c: Column, singular: Column | None = None) -> Column:
 def singular_unit(c: Column, custom: dict[str, str] | None = None) -> Column:
     """The singular of a known unit, null for other words."""
     units = L.UNITS | L.with_custom_units(custom)
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in units.items() for x in kv]), c)
+    return F.try_element_at(map_of(units), c)
 
 
 def is_unit(c: Column) -> Column:
     units = sorted({s for s in L.UNITS.values()} - set(L.LENGTH_UNITS))
-    return F.array_contains(F.array(*[F.lit(u) for u in units]), F.lower(c))
+    return F.array_contains(array_of(units), F.lower(c))
 
 
 def is_punctuation(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from .literals import map_of
 
 SYSTEMS = ("us_customary", "imperial", "metric", "australian", "japanese")
 DENSITY = 1000.0
@@ -195,7 +196,7 @@ def unit_table(spark: SparkSession) -> DataFrame:
 
 
 def _lookup(values: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+    return F.try_element_at(map_of(values), key)
 
 
 def resolve_name(alias: Column, system: Column | str = "us_customary") -> Column:

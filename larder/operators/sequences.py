@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions.literals import array_of
 
 
 def with_context(tokens: DataFrame, by: str, place: str, value: str, reach: int = 3) -> DataFrame:
@@ -33,7 +34,7 @@ def fix_punctuation(text: Column) -> Column:
 
 
 def is_stop_word(token: Column) -> Column:
-    return F.array_contains(F.array(*[F.lit(w) for w in sorted(L.STOP_WORDS)]), F.lower(token))
+    return F.array_contains(array_of(sorted(L.STOP_WORDS)), F.lower(token))
 
 
 def match_labels(labels: Column, pattern: list[str], ignore_others: bool = True) -> Column:
