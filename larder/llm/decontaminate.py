@@ -10,15 +10,19 @@ neighbouring pairs all occur in items can reach a window, so only those runs wal
 the automaton.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless
-item has no window; equal items all count; rows that repeat are judged alone, and
-columns besides the two that are named pass through ``decontaminate`` untouched.
+item has no window; equal items all count; items without an id hit like any other, count as one item together and
+have no place in the list of ids; rows that repeat are judged alone, and
+columns besides the two that are named pass through ``decontaminate`` untouched, whatever their names; an empty
+table gives no rows.
 Items of more than ``shard_bytes`` together are dealt into several automata, each with
-a pass of its own, so that a broadcast never outgrows that bound.
+a pass of its own over what the pass before it wrote to the checkpoint folder: so a worker never holds more than one
+automaton, of about 2 * ``shard_bytes`` / 6 states, and keeps it for all its tasks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,9 +35,10 @@ from pyspark.sql.types import StructType
 
 from . import kernels as K
 from .automaton import SuffixAutomaton
+from .storage import cut
 
 WINDOW = 13
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 _ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = True
@@ -50,7 +55,7 @@ def item_words(text: str | None) -> list[bytes]:
 class ItemIndex:
     """One automaton with what each of its states says about windows and items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.automaton = SuffixAutomaton()
@@ -151,18 +156,33 @@ class ItemIndex:
             n = int(counts[doc])
             x, y = np.array(spans, dtype=np.int64).T
             mask = K.union_lengths(x, y, n)
-            out[doc] = (n, int(mask.sum()), [(int(p), int(q)) for p, q in zip(*K.runs_of(mask))], sorted(names))
+            out[doc] = (n, int(mask.sum()), [(int(p), int(q)) for p, q in zip(*K.runs_of(mask))], _ordered(names))
         return out
 
 
-def _shards(items: DataFrame, item_id: str, text: str, shard_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _ordered(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+_indexes: dict[str, ItemIndex] = {}
+
+
+def _index(key: str, items: list[tuple[str | None, str | None]], window: int) -> ItemIndex:
+    """This worker's automaton, built once for each broadcast; the one before it goes first."""
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = ItemIndex(items, window)
+    return _indexes[key]
+
+
+def _shards(items: DataFrame, item_id: str, text: str, shard_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items dealt by hash into lists of about ``shard_bytes``, read one at a time; one empty list where there are none."""
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // shard_bytes))
-    dealt = F.pmod(F.xxhash64("i", F.lit("shard")), F.lit(n))
+    dealt = F.pmod(F.xxhash64("t", F.lit("shard")), F.lit(n))
     for k in range(n):
-        yield sorted((r.i, r.t) for r in rows.where(dealt == k).collect())
+        yield sorted(((r.i, r.t) for r in rows.where(dealt == k).collect()), key=repr)
 
 
 def benchmark_hits(
@@ -176,8 +196,8 @@ def benchmark_hits(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """One row for each document: its word count, hit words, hit spans in word numbers, and items."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _hits(found, items, "text", item_id, item_text, window, shard_bytes, keep_text=False)
+    found = docs.select(F.col(id_col), F.col(text_col).cast("string")).toDF("c0", "c1")
+    found = _hits(found, items, "c1", item_id, item_text, window, shard_bytes, keep_text=False).withColumnRenamed("c0", "doc_id")
     merged = F.expr(
         f"aggregate(array_sort({SPOTS}), cast(array() as {SPANS}), (acc, s) -> "
         "if(size(acc) > 0 and element_at(acc, -1).hi >= s.lo, concat(slice(acc, 1, size(acc) - 1), "
@@ -189,8 +209,8 @@ def benchmark_hits(
 
 
 def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, shard_bytes: int, keep_text: bool) -> DataFrame:
-    """``docs`` with the numbers of words, hit spans and items of each row: a pass for each automaton, which is alone in memory
-    there and adds to what the passes before it found. Without ``keep_text`` the last pass leaves the text out."""
+    """``docs``, whose columns are c0, c1 and so on, with the numbers of words, hit spans and items of each row: a pass for each automaton,
+    which adds to what the passes before it found. Without ``keep_text`` the last pass leaves the text out."""
     spark = docs.sparkSession
     for name, kind in ((WORDS, "bigint"), (SPOTS, SPANS), (ITEMS, "array<string>")):
         docs = docs.withColumn(name, F.lit(None).cast(kind))
@@ -199,6 +219,8 @@ def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_t
     while ahead is not None:
         shard, ahead = ahead, next(shards, None)
         docs = _pass(docs, spark.sparkContext.broadcast(shard), text_col, window, keep_text or ahead is not None)
+        if ahead is not None:  # or the workers of all passes would live at once
+            docs = cut(docs)
     return docs
 
 
@@ -207,14 +229,15 @@ def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_tex
     place, own = names.index(text_col), len(names) - 3
     out = [i for i in range(own) if keep_text or i != place]
     schema = StructType([docs.schema.fields[i] for i in [*out, own, own + 1, own + 2]])
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(sent.value, window)
+        index = _index(key, sent.value, window)
         for batch in batches:
             for part in K.slices(batch, text_col):
                 found = index.hits(*K.string_buffer(part.column(place)))
                 spans = [(old or []) + [{"lo": a, "hi": b} for a, b in x[2]] for old, x in zip(part.column(own + 1).to_pylist(), found)]
-                texts = [sorted({*(old or []), *x[3]}) for old, x in zip(part.column(own + 2).to_pylist(), found)]
+                texts = [_ordered({*(old or []), *x[3]}) for old, x in zip(part.column(own + 2).to_pylist(), found)]
                 made = [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, part.column(own + 1).type), pa.array(texts, part.column(own + 2).type)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), *made], schema.names)
 
@@ -243,11 +266,12 @@ def decontaminate(
     """
     names = docs.columns
     place = names.index(text_col)
-    spots = _hits(docs, items, text_col, item_id, item_text, window, SHARD_BYTES, keep_text=True).drop(WORDS, ITEMS)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    spots = _hits(plain, items, f"c{place}", item_id, item_text, window, SHARD_BYTES, keep_text=True).drop(WORDS, ITEMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, text_col):
+            for part in K.slices(batch, place):
                 keep: list[int] = []
                 texts = part.column(place)
                 cut: dict[int, str] = {}

@@ -5,22 +5,27 @@ greedily into phrases, each the longest match that goes on from where the last e
 the language that needs the fewest phrases, normalised by the text's length and by the
 logarithm of the reference's, wins.
 
-The automata become transition tables that begin a new phrase by themselves, and many
-blocks of text are parsed in lockstep, one symbol of each at a time.  Phrases end at a
-block's end (``BLOCK`` symbols), for all languages alike.
+Texts are read as the UTF-8 bytes of their letters in lower case, with one blank for whatever stands
+between two runs of letters; so letters of every script count.  The automata become transition tables over the
+bytes that their reference has (any other byte is a phrase of its own), and many blocks of text are parsed in
+lockstep, one byte of each at a time.  Each block is parsed as if it began a text; then the state that
+the block before really ends in goes on into it until both parses are in one state, from where on they agree.  That is
+repeated until no block's end changes, so that phrases run across blocks and long texts are parsed as short ones are.
 
-Reference texts are a bounded sample: about ``reference_chars`` for each language, taken
-in the order of a hash of doc_id from rows that aren't held out.  Predictions see the
-text alone.
+Reference texts are a bounded sample: for each language whole texts in the order of a hash of id and text, from rows that
+aren't held out, until ``reference_chars`` characters; only the last one is cut, at the bound.  Equal rows count once.
+Predictions see the text alone.
 
 Defined results: a null text or one without letters is ``und`` with score 0; no usable
 labelled row leaves every text ``und``; equal phrase counts go to the first language by
-code point; repeated rows get equal results; letters that no reference has match nothing.
+code point; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ REFERENCE_CHARS = 60_000
 BLOCK = 512
 UNKNOWN = "und"
 _NEW = np.int32(1 << 30)
-_GAP, _OTHER = 0, 1
+_GRAIN = 1 << 24
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -43,25 +48,40 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def reference_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, reference_chars: int) -> dict[str, str]:
-    """About ``reference_chars`` of text for each label, in hash order: what is collected is bounded by that and the number of labels."""
-    usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("reference")).alias("h"), F.col(text_col).alias("text")
-    )
-    piece = max(1000, reference_chars // 16)
-    held = usable.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(piece))).alias("n")).collect()
-    grain = 1 << 24
-    share = {r.lang: min(grain, math.ceil(grain * 4 * reference_chars / r.n)) for r in held if r.n}
-    if not share:
-        return {}
-    bound = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    rows = usable.where(F.pmod("h", F.lit(grain)) < bound).select("lang", "h", F.substring("text", 1, piece).alias("text")).collect()
-    out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
-        if size.get(r.lang, 0) < reference_chars:
-            out.setdefault(r.lang, []).append(r.text)
-            size[r.lang] = size.get(r.lang, 0) + len(r.text)
-    return {lang: "\n".join(texts) for lang, texts in sorted(out.items())}
+    """Texts of ``reference_chars`` characters for each label (all it has, if it has fewer): what is collected is bounded by that and the number of labels."""
+    text = F.substring(F.col(text_col).cast("string"), 1, reference_chars)  # more of one text is never used
+    usable = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), text.alias("text"))
+    held = {r.lang: r.n for r in usable.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect() if r.n}
+    share = {lang: min(_GRAIN, math.ceil(_GRAIN * 4 * reference_chars / n)) for lang, n in held.items()}
+    out: dict[str, str] = {}
+    while share:
+        bound = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+        some = usable.where(F.col("lang").isin(*share) & (F.pmod("h", F.lit(_GRAIN)) < bound)).groupBy("lang", "h").agg(F.max("text").alias("text"))
+        texts: dict[str, list[str]] = {lang: [] for lang in share}
+        for r in sorted(some.collect(), key=lambda r: (r.h % _GRAIN, r.h, r.text)):
+            texts[r.lang].append(r.text)
+        for lang, found in texts.items():
+            out[lang] = "\n".join(found)[:reference_chars]
+        # A label of few different rows, or of unlucky hashes, has too little yet: take more of it.
+        share = {lang: min(_GRAIN, 16 * n) for lang, n in share.items() if len(out[lang]) < reference_chars and n < _GRAIN}
+    return {lang: out[lang] for lang in sorted(out)}
+
+
+@cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def letter_bytes(text: str) -> bytes:
+    """The letters of a text in lower case, with one blank for whatever stands behind a run of them; empty without letters."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letter = _letters()[points]
+    if not letter.any():
+        return b""
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, points, 0x20)[keep].astype("<u4").tobytes().decode("utf-32-le", "replace").encode("utf-8")
 
 
 class CrossParser:
@@ -69,95 +89,105 @@ class CrossParser:
 
     def __init__(self, references: dict[str, str], block: int = BLOCK):
         self.block = block
-        letters = sorted({c for text in references.values() for x in text for c in x.lower() if c.isalpha()})
-        if len(letters) > 250:  # the most frequent ones; others match nothing
-            from collections import Counter
-
-            counted = Counter(c for text in references.values() for c in text.lower() if c.isalpha())
-            letters = sorted(sorted(counted, key=lambda c: (-counted[c], c))[:250])
-        number = {c: i + 2 for i, c in enumerate(letters)}
-        self.symbol = np.full(1 << 16, _GAP, dtype=np.uint8)
-        for point in range(1 << 16):
-            c = chr(point)
-            if c.isalpha():
-                self.symbol[point] = number.get(c.lower(), _OTHER)
-        self.pad = len(letters) + 2
-        self.width = self.pad + 1
-        self.languages, tables, self.bits = [], [], []
-        self.roots = []
+        self.languages, self.columns, self.roots, self.bits, tables = [], [], [], [], []
         at = 0
         for lang, text in references.items():
-            symbols, _ = self._symbols(text)
-            if not (symbols > _OTHER).any():
+            read = letter_bytes(text)
+            if not read:
                 continue
-            table = self._table(symbols.tolist(), at)
+            present = sorted(set(read))
+            column = np.zeros(257, dtype=np.int32)  # 0: bytes that the reference hasn't
+            column[present] = np.arange(1, len(present) + 1)
+            column[256] = len(present) + 1  # behind a text's end
+            table = self._table(column[np.frombuffer(read, dtype=np.uint8)].tolist(), len(present) + 2, at)
             self.languages.append(lang)
-            self.roots.append(at)
-            self.bits.append(math.log2(len(symbols) + 2))
+            self.columns.append(column)
+            self.roots.append(np.int32(at))
+            self.bits.append(math.log2(len(read) + 2))
             tables.append(table)
             at += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else None
-
-    def _symbols(self, text: str) -> tuple[np.ndarray, int]:
-        """Letters as symbols, everything between them as one gap; and the number of letters."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        symbols = np.where(points < 1 << 16, self.symbol[np.minimum(points, 0xFFFF)], _OTHER).astype(np.uint8)
-        letter = symbols != _GAP
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        return symbols[keep], int(letter.sum())
-
-    def _table(self, symbols: list[int], at: int) -> np.ndarray:
-        """Rows are states: the next state's row (counted from the whole table's start) and whether a phrase begins."""
-        a = SuffixAutomaton([[s for s in symbols if s != _OTHER]])
-        root = np.full(self.width, at, dtype=np.int32)
+        self.table = np.concatenate(tables) if tables else None
+
+    @staticmethod
+    def _table(symbols: list[int], width: int, at: int) -> np.ndarray:
+        """For each state and symbol the next state (as the place of its row in the whole table) and whether a phrase begins."""
+        a = SuffixAutomaton([symbols])
+        root = np.full(width, at, dtype=np.int32)
         for symbol, to in a.next[0].items():
-            root[symbol] = at + to
+            root[symbol] = at + to * width
         table = np.tile(root | _NEW, (len(a.next), 1))
         for state in range(1, len(a.next)):
             for symbol, to in a.next[state].items():
-                table[state, symbol] = at + to
-        table[:, self.pad] = at
-        return table
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        out_lang, out_score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if self.table is None:
-            return out_lang, out_score
-        parsed = []
-        for i, text in enumerate(texts):
-            if text:
-                symbols, letters = self._symbols(text)
-                if letters:
-                    parsed.append((i, symbols))
-        if not parsed:
-            return out_lang, out_score
-        lengths = np.array([len(s) for _, s in parsed])
+                table[state, symbol] = at + to * width
+        table[:, width - 1] = at
+        return table.ravel()
+
+    def _phrases(self, language: int, columns: np.ndarray, alive: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases of each block; ``columns[t]`` holds every block's byte number t, ``follows[b]`` the block before b or -1."""
+        column, root, table = self.columns[language], self.roots[language], self.table
+        state = np.full(columns.shape[1], root, dtype=np.int32)
+        count = np.zeros(columns.shape[1], dtype=np.int64)
+        for t in range(self.block):
+            n = int(alive[t])
+            if not n:
+                break
+            step = table[state[:n] + column[columns[t, :n]]]
+            count[:n] += step >> 30
+            np.bitwise_and(step, _NEW - 1, out=state[:n])
+        begin = np.full(len(state), root, dtype=np.int32)  # the state that each block was parsed from
+        todo = np.flatnonzero(follows >= 0)
+        while len(todo):
+            real = state[follows[todo]]
+            todo, real = todo[real != begin[todo]], real[real != begin[todo]]
+            was, now = begin[todo], real.copy()
+            begin[todo] = real
+            changed, at = todo, np.arange(len(todo))
+            for t in range(self.block):
+                inside = changed[at] < alive[t]
+                at, was, now = at[inside], was[inside], now[inside]
+                if not len(at):
+                    break
+                symbol = column[columns[t, changed[at]]]
+                a, b = table[was + symbol], table[now + symbol]
+                count[changed[at]] += (b >> 30) - (a >> 30)
+                was, now = a & (_NEW - 1), b & (_NEW - 1)
+                apart = was != now
+                at, was, now = at[apart], was[apart], now[apart]
+            state[changed[at]] = now  # blocks of which the end has changed
+            ended = np.zeros(len(state), dtype=bool)
+            ended[changed[at]] = True
+            todo = np.flatnonzero((follows >= 0) & ended[follows])
+        return count
+
+    def phrases(self, read: list[bytes]) -> np.ndarray:
+        """For each language (rows) and non-empty text the number of phrases of its greedy parse."""
+        lengths = np.array([len(x) for x in read])
         blocks = -(-lengths // self.block)
         first = np.cumsum(blocks) - blocks
-        matrix = np.full((int(blocks.sum()), self.block), self.pad, dtype=np.uint8)
+        matrix = np.full((int(blocks.sum()), self.block), 256, dtype=np.int16)
         flat = matrix.ravel()
-        for (_, symbols), at in zip(parsed, first.tolist()):
-            flat[at * self.block : at * self.block + len(symbols)] = symbols
+        for x, at in zip(read, first.tolist()):
+            flat[at * self.block : at * self.block + len(x)] = np.frombuffer(x, dtype=np.uint8)
         fill = np.minimum(np.repeat(lengths, blocks) - (np.arange(len(matrix)) - np.repeat(first, blocks)) * self.block, self.block)
         order = np.argsort(-fill, kind="stable")  # longest first: later steps look at fewer blocks
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        before = np.arange(len(matrix)) - 1
+        before[first] = -1
+        follows = np.where(before[order] >= 0, place[before[order]], -1)
         columns = np.ascontiguousarray(matrix[order].T)
         alive = np.searchsorted(-fill[order], -np.arange(self.block), side="left")
-        phrases = np.zeros((len(self.languages), len(matrix)), dtype=np.int32)
-        for k, root in enumerate(self.roots):
-            state = np.full(len(matrix), root, dtype=np.int32)
-            count = phrases[k]
-            for t in range(self.block):
-                n = int(alive[t])
-                if not n:
-                    break
-                step = self.table[state[:n] * np.int32(self.width) + columns[t, :n]]
-                count[:n] += step >> 30
-                np.bitwise_and(step, _NEW - 1, out=state[:n])
-        back = np.empty_like(phrases)
-        back[:, order] = phrases
-        totals = np.add.reduceat(back, first, axis=1)
-        rates = totals * np.array(self.bits)[:, None] / lengths
+        counts = [np.add.reduceat(self._phrases(k, columns, alive, follows)[place], first) for k in range(len(self.languages))]
+        return np.array(counts)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        out_lang, out_score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if self.table is None:
+            return out_lang, out_score
+        parsed = [(i, read) for i, text in enumerate(texts) if text and (read := letter_bytes(text))]
+        if not parsed:
+            return out_lang, out_score
+        rates = self.phrases([read for _, read in parsed]) * np.array(self.bits)[:, None] / np.array([len(read) for _, read in parsed])
         best = np.argmin(rates, axis=0)
         ranked = np.sort(rates, axis=0)
         score = np.ones(len(parsed)) if len(ranked) == 1 else 1 - ranked[0] / np.maximum(ranked[1], 1e-12)
@@ -166,7 +196,15 @@ class CrossParser:
         return out_lang, out_score
 
 
-_parsers: dict[int, CrossParser] = {}
+_parsers: dict[str, CrossParser] = {}
+
+
+def _parser(key: str, references: dict[str, str]) -> CrossParser:
+    """This worker's parser, built once for each broadcast."""
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = CrossParser(references)
+    return _parsers[key]
 
 
 def identify(
@@ -183,15 +221,11 @@ def identify(
     """
     if references is None:
         references = reference_sample(docs, id_col, text_col, lang_col, reference_chars)
-    sent = docs.sparkSession.sparkContext.broadcast(references)
+    sent, key = docs.sparkSession.sparkContext.broadcast(references), uuid.uuid4().hex
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def make():
-        key = hash(tuple(sent.value.items()))
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = CrossParser(sent.value)
-        parser = _parsers[key]
+        parser = _parser(key, sent.value)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = parser.predict(part.column(2).to_pylist())
@@ -204,16 +238,19 @@ def identify(
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reference_chars: int = REFERENCE_CHARS) -> DataFrame:
-    """All columns of the documents whose text has an identifiable language; the others go."""
-    sent = docs.sparkSession.sparkContext.broadcast(reference_sample(docs, id_col, text_col, lang_col, reference_chars))
-    place = docs.columns.index(text_col)
+    """All columns of the documents whose text has an identifiable language; the others go.  A null label takes the language found."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(reference_sample(docs, id_col, text_col, lang_col, reference_chars)), uuid.uuid4().hex
+    names = docs.columns
+    place, label = names.index(text_col), names.index(lang_col)
 
     def run(batches):
-        parser = CrossParser(sent.value)
+        parser = _parser(key, sent.value)
         for batch in batches:
-            for part in K.slices(batch, text_col):
+            for part in K.slices(batch, place):
                 langs, _ = parser.predict(part.column(place).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+                filled = pa.array([old if old is not None else x for old, x in zip(part.column(label).to_pylist(), langs)], part.column(label).type)
+                columns = [filled if i == label else part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
     K.small_batches(docs)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.schema)
