@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 16 << 20
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -163,10 +164,13 @@ def map_slices(
 
 
 def small_batches(df: DataFrame) -> None:
-    """Keep the Arrow batches that go to Python small: whole texts may be long."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound the bytes of the Arrow batches that go to Python, as whole texts may be long, unless the session has a bound of its own.
+
+    Spark has no such setting for one plan; the number of rows in a batch, which other operators may have set, stays as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(BATCH_BYTES)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
 
 
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

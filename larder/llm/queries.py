@@ -44,7 +44,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+    return N.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
