@@ -48,17 +48,21 @@ def components(links: DataFrame) -> DataFrame:
 
 
 HOT = 1024
+FEW = 500_000
 
 
 def join_back(rows: DataFrame, few: DataFrame, keys: str | list[str], count: str, keep: bool = False) -> DataFrame:
     """``rows`` joined with ``few``, of which each key has one row; its column ``count`` says how many of the rows have the key.
 
-    Keys that more than one in ``HOT`` of these rows have, so ``HOT`` keys at most, are broadcast and their rows stay where they
-    are; only the others are dealt out by key.  ``few`` is read several times and should be cut.  ``keep`` leaves the count in.
+    ``FEW`` keys at most are broadcast.  Of more, those that more than one in ``HOT`` of the rows have, so ``HOT`` keys at most, are
+    broadcast, and their rows stay where they are; only the others are dealt out by key.  ``few`` is read several times and
+    should be cut.  ``keep`` leaves the count in.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    total = few.agg(F.sum(count)).first()[0] or 0
-    often = F.col(count) * HOT > total
+    n, total = few.agg(F.count("*"), F.sum(count)).first()
     drop = [] if keep else [count]
+    if n <= FEW:
+        return rows.join(F.broadcast(few.drop(*drop)), keys)
+    often = F.col(count) * HOT > total
     hot = F.broadcast(few.where(often).drop(*drop))
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(few.where(often).select(*keys)), keys, "left_anti").join(few.where(~often).drop(*drop), keys))
