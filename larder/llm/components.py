@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 HOT = 1024
-FEW = 500_000
+FEW = 1_000_000
 
 
 def join_back(rows: DataFrame, few: DataFrame, keys: str | list[str], count: str, keep: bool = False) -> DataFrame:

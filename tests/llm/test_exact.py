@@ -214,8 +214,8 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
-@pytest.mark.parametrize(("small", "chunk"), [(32, 128), (1, 4)])
-def test_line_groups(spark, documents, small, chunk):
+@pytest.mark.parametrize("small", [32, 4])
+def test_line_groups(spark, documents, small):
     rng = random.Random(11)
     words = [f"word{i}" for i in range(50)]
     base = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
@@ -228,7 +228,7 @@ def test_line_groups(spark, documents, small, chunk):
         lines.append(line.capitalize() + ".")
     texts = ["\n".join(lines[i : i + 5]) + "\nshort line" for i in range(0, 150, 5)]
     docs = documents(texts).select("doc_id", "text")
-    gone = {(r.doc_id, r.line) for r in line_dedup.line_groups(docs, small=small, chunk=chunk).collect()}
+    gone = {(r.doc_id, r.line) for r in line_dedup.line_groups(docs, small=small).collect()}
     norm = {(d, n): " ".join(re.findall("[a-z0-9]+", line.lower())) for d, t in enumerate(texts) for n, line in enumerate(t.split("\n"))}
     root = groups(sorted(norm), lambda a, b: norm[a] == norm[b] or line_dedup.similar(norm[a], norm[b]))
     assert gone == {k for k in norm if root[k] != k} and 20 < len(gone) < 175
