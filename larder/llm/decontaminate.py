@@ -38,7 +38,7 @@ from .automaton import SuffixAutomaton
 from .storage import cut
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = True

@@ -15,6 +15,8 @@ numbered in one task, as there are few sources.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-BLOCK_DIGITS = 3
+BLOCK_DIGITS = 3  # at least: 4096 blocks of each source
+BLOCK_ROWS = 100_000
 
 
 def hash_key(id_col: Column, seed: str) -> Column:
@@ -64,19 +67,24 @@ def mix(
     weights: tuple = WEIGHTS,
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
-    block_digits: int = BLOCK_DIGITS,
+    block_digits: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target and taken words.
+    """One row for each document: id, source, size, source_size, target and taken words, and the columns ``carry``.
 
-    ``block_digits`` hex digits of the key deal a source into blocks (16 to that power).
+    ``block_digits`` hex digits of the key deal a source into blocks (16 to that power); by default so many
+    that a block has about ``BLOCK_ROWS`` rows at most, were all rows of one source.
     """
-    sizes = docs.select(
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         hash_key(F.col(id_col), seed).alias("key"),
+        F.struct(*carry, F.lit(0)).alias("carried"),
     )
-    sizes = cut(sizes)
+    sizes = cut(rows.drop("carried"))
+    if block_digits is None:
+        block_digits = max(BLOCK_DIGITS, math.ceil(math.log(max(1, sizes.count() / BLOCK_ROWS), 16)))
     targets = source_targets(sizes, weights, share, max_epochs)
     block = F.substring("key", 1, block_digits)
     blocks = sizes.groupBy("source", block.alias("block")).agg(F.sum("size").alias("block_size"))
@@ -86,11 +94,12 @@ def mix(
         .join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .select(F.col("source").alias("s"), F.col("block").alias("b"), "offset", "source_size", "target")
     )
-    dealt = sizes.withColumn("block", block).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    every = rows if carry else sizes  # what is carried is shuffled once and never written
+    dealt = every.withColumn("block", block).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.round("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = budget - epochs * F.col("source_size")
     part = F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
-    return dealt.withColumn("taken", (epochs * F.col("size") + part).cast("bigint")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return dealt.withColumn("taken", (epochs * F.col("size") + part).cast("bigint")).select("doc_id", "source", "size", "source_size", "target", "taken", *(f"carried.{c}" for c in carry))

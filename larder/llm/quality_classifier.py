@@ -6,13 +6,13 @@ neighbouring lines.  Forward-backward marginals of "good", weighted by line leng
 the document's score.
 
 Training is on the driver in numpy, over a bounded sample of labelled documents that
-aren't held out (``sample_docs`` documents in hash order, ``sample_lines`` lines of each at
-most): each line takes its document's label, and the conditional likelihood of the
-label sequences is maximised by Adam with a small quadratic penalty.
+aren't held out: whole texts in hash order, ``sample_docs`` of them at most and no more than ``sample_lines`` lines
+together (a text of more lines than are left is passed over): each line takes its document's label, and the conditional
+likelihood of the label sequences is maximised by Adam with a small quadratic penalty.
 
 Defined results: a null or wordless text is one line of no words and gets that line's
 marginal; repeated rows get equal scores; without any usable label every score is 0.5;
-a document labelled twice takes part in training once for each label.
+a document labelled twice takes part in training once for each label; equal rows take part once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .language_id import held_out
 from .quality_rules import Coverage, later_equals
 
 SAMPLE_DOCS = 3000
-SAMPLE_LINES = 100
+SAMPLE_LINES = 300_000
 THRESHOLD = 0.3
 BINS = {
     "words": [1, 2, 4, 8, 16, 32, 64, 128],
@@ -215,19 +215,29 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     marked = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")).alias("h")
     )
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"), F.coalesce(F.size(F.split(text, "\n")), F.lit(1)).alias("lines"))
     chosen = marked.orderBy("h", "doc_id", "label").limit(sample_docs)  # a top-k: no full sort
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")
+    order = ["h", "doc_id", "label", "t"]
+    left, taken = sample_lines, []
+    for r in joined.select(*order, "lines").orderBy(*order).limit(sample_docs).collect():
+        key = tuple(r[:4])
+        if r.lines <= left and (not taken or taken[-1] != key):
+            left -= r.lines
+            taken.append(key)
+    kept = docs.sparkSession.createDataFrame(taken, joined.select(*order).schema)
 
     def run(batches):
         for batch in batches:
             for part in K.slices(batch, "text"):
                 features, _, before = line_features(*K.string_buffer(part.column(1)))
-                packed = [features[a : min(b, a + sample_lines)].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
+                packed = [features[a:b].tobytes() for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(3), part.column(0).cast(pa.string()), part.column(2), pa.array(packed, pa.binary())], ["h", "id", "label", "features"])
 
     K.small_batches(docs)
-    rows = joined.select("doc_id", "text", "label", "h").mapInArrow(run, "h bigint, id string, label int, features binary").collect()
+    wanted = joined.join(F.broadcast(kept), order, "left_semi").select("doc_id", "text", "label", "h")
+    rows = wanted.mapInArrow(run, "h bigint, id string, label int, features binary").distinct().collect()
     rows.sort(key=lambda r: (r.h, r.id or "", r.label, bytes(r.features)))
     width = 1 + len(BINS) + 2 * len(NEAR)
     parts = [np.frombuffer(bytes(r.features), dtype=np.int16).reshape(-1, width) for r in rows]

@@ -129,6 +129,17 @@ o as (select s.doc_id, s.size, g.source_size, g.target, cast(round(g.target) as
   from s join g on s.source is not distinct from g.source)
 select doc_id, size, source_size, target, cast(case when source_size = 0 then 0 else
   (budget // source_size) * size + least(greatest(budget - (budget // source_size) * source_size - start, 0), size) end as bigint) taken from o
+""",
+    "op5_suffix_array_dedup": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+g as (select doc_id, i, md5(substring(x, 2 * i - 1, 200)) s from d, unnest(range(1, len(x) // 2 - 98)) t(i) where len(x) >= 200),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) k from g) where k > 1),
+e as (select doc_id, i, case when i > lag(i) over w + 100 or lag(i) over w is null then 1 else 0 end new from r window w as (partition by doc_id order by i)),
+u as (select doc_id, n, min(i) lo, max(i) + 100 hi from (select doc_id, i, sum(new) over (partition by doc_id order by i) n from e) group by doc_id, n),
+b as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 1) before from u),
+k as (select b.doc_id, string_agg(substring(x, 2 * before - 1, 2 * (lo - before)), '' order by lo) || substring(any_value(x), 2 * max(hi) - 1) x, sum(hi - lo) n_removed, count(*) n_spans from b join d using (doc_id) group by b.doc_id)
+select d.doc_id, cast(len(d.x) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans, sha256(unhex(coalesce(k.x, d.x))) kept_sha256
+from d left join k using (doc_id)
 """,
     "op6_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),

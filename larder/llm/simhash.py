@@ -4,9 +4,8 @@ Fingerprints are taken once; documents of equal fingerprint are one node from th
 Each distinct fingerprint gets keys from its segments (see ``golay``): keys that meet
 give candidates, which are verified by their differing bits.  A bucket of up to
 ``small`` fingerprints is verified pair by pair.  A larger one is not paired: each of
-its fingerprints is put down under every word within one bit of it that shares the
-bucket's exact segment; two fingerprints differ in at most two bits exactly if they
-meet under such a word, and a link from each to the smallest one there keeps them
+its fingerprints is put down under itself and under each of the 64 words one bit away; two
+fingerprints differ in at most two bits exactly if they meet under such a word, and a link from each to the smallest one there keeps them
 connected.  So no bucket costs more than in proportion to its size.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import golay
 from . import kernels as K
-from .components import components
+from .components import components, join_back
 from .storage import cut
 
 BITS = 2
@@ -128,9 +127,9 @@ def near_duplicates(
 ) -> DataFrame:
     """One row (doc_id, fingerprint, component_id) for each document."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(distinct, bits, small))
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = cut(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")))
+    of = cut(join_back(member, least, "root", "prints").select("fp", "n", "component_id"))
+    return join_back(prints, of, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

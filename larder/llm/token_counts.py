@@ -1,25 +1,25 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-A text of up to ``chunk_chars`` is encoded whole.  A longer one is encoded in chunks
+A text of up to ``chunk_chars`` is one chunk and encoded at once.  A longer one is encoded in chunks
 that overlap; each chunk's tokens carry their offsets, and neighbouring chunks are
 spliced at a proven stable boundary: a place in the overlap that follows a blank,
 where both encodings begin a token and agree on every token up to the end of the
-overlap's settled part.  No pre-token of the vocabularies used here spans a blank, so
-what stands behind such a place does not depend on what stands before it.  Where an
+overlap's settled part.  That proves it only where no pre-token spans a blank, so that what
+stands behind such a place doesn't depend on what stands before it: ``splits_at_blanks`` reads
+that from the tokenizer's own description, and texts are encoded whole where it can't.  Where an
 overlap has no such place, it is widened to twice its length, in the end to the
 whole text.
 
-Encoding takes most of the time, and words repeat.  For the same reason that makes
-a boundary stable, a text's tokens are those of its blank-separated words, so a
-worker keeps the counts that the library gave for words, in a table of bounded size.
+``.json`` files are read by tokenizers, ``.model`` files by sentencepiece, which has no such description: texts are encoded whole.
 
 Defined results: null counts as the empty text, which has no tokens; special strings
 inside texts are taken as the library takes them by default; repeated rows are
-counted each; a text without blanks is encoded whole, however long.
+counted each; a text without blanks is encoded whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -30,7 +30,8 @@ from . import kernels as K
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
-MEMO_WORDS = 600_000
+#: Patterns of pre-tokenizers, as tokenizer files spell them, that match no blank.
+BLANKLESS_PATTERNS = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "\\w+|[^\\w\\s]+")
 
 
 def load_tokenizer(path: str):
@@ -39,6 +40,24 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def splits_at_blanks(description: dict) -> bool:
+    """Whether a tokenizer file's normaliser works on each word alone and its pre-tokenizer lets no pre-token span a blank; False where that isn't known."""
+
+    def parts(x: dict | None) -> list[dict]:
+        return [] if not x else [p for y in x.get("normalizers", []) + x.get("pretokenizers", []) for p in parts(y)] if x["type"] == "Sequence" else [x]
+
+    def plain(x: dict) -> bool:
+        blanks = x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "
+        return blanks or x["type"] in ("NFC", "NFD", "Lowercase", "StripAccents")
+
+    def cuts(x: dict) -> bool:
+        split = x["type"] == "Split" and x["pattern"].get("Regex") in BLANKLESS_PATTERNS and x["behavior"] == "Removed" and x["invert"]
+        return split or x["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+
+    before = parts(description.get("pre_tokenizer"))
+    return bool(before) and cuts(before[0]) and all(map(plain, parts(description.get("normalizer")))) and not (description["model"].get("dropout") or 0)
+
+
 class ChunkedEncoder:
     """Encodes huge texts chunk by chunk: token numbers and starts as of the whole text."""
 
@@ -90,30 +109,30 @@ class ChunkedEncoder:
 class TokenCounter:
     """Counts tokens as the library does."""
 
-    def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, memo_words: int = MEMO_WORDS):
-        self.tokenizer = load_tokenizer(path)
-        self.chunk, self.memo_words = chunk, memo_words
-        self.memo: dict[str, int] = {"": 0}
-        self.chunked = ChunkedEncoder(self._encode, chunk, overlap)
+    def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
+        self.chunked = None
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            self._counts = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)] if texts else []
+            return
+        tokenizer = load_tokenizer(path)
 
-    def _encode(self, text: str) -> tuple[list[int], list[int]]:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return e.ids, [o[0] for o in e.offsets]
+        def encode(text: str) -> tuple[list[int], list[int]]:
+            e = tokenizer.encode(text, add_special_tokens=False)
+            return e.ids, [o[0] for o in e.offsets]
 
-    def count(self, text: str) -> int:
-        return len(self.chunked.tokens(text)[0]) if len(text) > self.chunk else self._by_words(text)
+        self._counts = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if splits_at_blanks(json.loads(tokenizer.to_str())):
+            self.chunked = ChunkedEncoder(encode, chunk, overlap)
 
-    def _by_words(self, text: str) -> int:
-        words = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        new = list({w for w in words if w not in memo})
-        if new:
-            if len(memo) + len(new) > self.memo_words:
-                self.memo = memo = {"": 0}
-                new = list(set(words) - {""})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[w] = len(e)
-        return sum(map(memo.__getitem__, words))
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: texts of one chunk go to the library together."""
+        if not self.chunked:
+            return self._counts(texts)
+        one = iter(self._counts([t for t in texts if len(t) <= self.chunked.chunk]))
+        return [next(one) if len(t) <= self.chunked.chunk else len(self.chunked.tokens(t)[0]) for t in texts]
 
 
 _counters: dict[tuple, TokenCounter] = {}
@@ -139,7 +158,7 @@ def token_counts(
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in part.column(1).to_pylist()]
-            n = [counter.count(t) for t in texts]
+            n = counter.counts(texts)
             return pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

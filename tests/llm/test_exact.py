@@ -234,15 +234,21 @@ def test_line_groups(spark, documents, small):
     assert gone == {k for k in norm if root[k] != k} and 20 < len(gone) < 175
 
 
+PIECES = ["hello", "World!", "don't", "it's", "naïve", "été", "日本語", "a b", "<|endoftext|>", "x<|endoftext|>y", "12345", " ", "\x1c", "...", "ΣΑΣ", "😀👍", "#$%&", "\t", "\r\n", "İ", "ﬁ", "e\u0301", "\u0301"]
+
+
+def odd_texts():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(PIECES) + rng.choice([" ", "", "\n", "  "]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    return texts + [" ".join(rng.choice(PIECES) for _ in range(4000)), "".join(rng.choice("abcdef'") for _ in range(3000)), None]
+
+
 def test_token_counts_as_the_library_counts(documents):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = token_counts.load_tokenizer(path)
-    rng = random.Random(4)
-    pieces = ["hello", "World!", "don't", "it's", "naïve", "été", "日本語", "a b", "<|endoftext|>", "x<|endoftext|>y", "12345", " ", "\x1c", "...", "ΣΑΣ", "😀👍", "#$%&", "\t", "\r\n", "İ", "ﬁ"]
-    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "\n", "  "]) for _ in range(rng.randrange(60))) for _ in range(200)]
-    texts += [" ".join(rng.choice(pieces) for _ in range(4000)), "".join(rng.choice("abcdef'") for _ in range(3000)), None]
+    texts = odd_texts()
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
     for chunk, overlap in ((1 << 15, 256), (300, 8)):
         got = sorted(token_counts.token_counts(documents(texts), path, chunk=chunk, overlap=overlap).collect(), key=lambda r: r.doc_id)
@@ -251,3 +257,105 @@ def test_token_counts_as_the_library_counts(documents):
     for t in texts[-3:-1]:
         e = library.encode(t, add_special_tokens=False)
         assert encoder.tokens(t) == (e.ids, [o[0] for o in e.offsets])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_encode_whole_texts(documents, name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    counter = token_counts.TokenCounter(path, chunk=100, overlap=8)
+    assert counter.chunked is None
+    texts = [t or "" for t in odd_texts()]
+    if name.endswith(".json"):
+        want = [len(e) for e in token_counts.load_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    else:
+        import sentencepiece
+
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    assert counter.counts(texts) == want
+
+
+def test_a_text_of_a_million_characters(documents):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(6)
+    text = " ".join(rng.choice(PIECES) for _ in range(250_000))
+    assert len(text) > 1 << 20
+    want = len(token_counts.load_tokenizer(path).encode(text, add_special_tokens=False).ids)
+    assert [r.n_tokens for r in token_counts.token_counts(documents([text]), path).collect()] == [want]
+
+
+def test_fingerprints_and_components_against_a_plain_version(documents):
+    import xxhash
+
+    rng = random.Random(12)
+    vocabulary = [f"Wörd{i}" if i % 9 == 0 else f"Word{i}" for i in range(300)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 4, 30, 200, 900]))] for _ in range(60)]
+    texts = [" ".join(w) for w in base]
+    for w in base[:40]:
+        for _ in range(3):
+            copy = list(w)
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append("\t".join(copy) + rng.choice(["", " ", "\n"]))
+    texts += [None, "", " \n", texts[0], texts[0].upper().replace("Ö", "ö")]
+
+    def fingerprint(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall("[^\x20\x09-\x0d]+", low)
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [fingerprint(t) for t in texts]
+    root = groups(list(range(len(texts))), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    rows = sorted(simhash.near_duplicates(documents(texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.fingerprint for r in rows] == [f"{p:016x}" for p in prints]
+    assert [r.component_id for r in rows] == [root[i] for i in range(len(texts))]
+    assert len(set(root.values())) < len(set(prints))
+
+
+@pytest.mark.parametrize("operator", ["op5", "op6"])
+def test_crowded_anchors_are_compared_the_same_either_way(operator, monkeypatch):
+    """Many different contents around one anchor: by the method itself, and by the hashes of windows that take over beyond MANY contents."""
+    rng = random.Random(7)
+    if operator == "op5":
+        kind = suffix_dedup.kind()
+        middle, letters = bytes(rng.choices(b"abc ", k=60)), b"ab "
+        texts = [bytes(rng.choices(letters, k=70)) for _ in range(12)]
+        made = [rng.choice(texts)[-rng.randrange(20, 70) :] + middle + rng.choice(texts)[: rng.randrange(20, 70)] for _ in range(150)]
+        spot = [m.index(middle) for m in made]
+    else:
+        kind = substring_dedup.kind()
+        middle = " ".join(f"m{i}" for i in range(16)).encode()
+        texts = [[rng.choice(["a", "b"]).encode() for _ in range(30)] for _ in range(8)]
+        made = [b" ".join(rng.choice(texts)[-rng.randrange(8, 30) :] + [middle] + rng.choice(texts)[: rng.randrange(12, 30)]) for _ in range(150)]
+        spot = [m.split().index(b"m0") for m in made]
+    contents = []
+    for n, (m, at) in enumerate(zip(made, spot)):
+        data = np.frombuffer(m, dtype=np.uint8)
+        contents.append(repeats.Content(kind.units(data, np.array([0, len(data)]))[0], at, (True, n, 0), n))
+    found = []
+    for many in (repeats.MANY, 2):
+        monkeypatch.setattr(repeats, "MANY", many)
+        got = repeats._compare_groups([contents], kind)
+        # only windows around the anchor are this anchor's business; others meet elsewhere
+        found.append({n: sorted({(a, b) for a, b in spans if a <= contents[n].at and b >= contents[n].at + kind.gram}) for n, spans in got.items()})
+    clean = [{n: s for n, s in f.items() if s} for f in found]
+    assert clean[0] == clean[1] and len(clean[0]) > 50
+
+
+@pytest.mark.parametrize("operator", [suffix_dedup.suffix_dedup, substring_dedup.substring_dedup])
+def test_a_text_over_a_megabyte_repeats_itself(documents, operator):
+    rng = random.Random(2)
+    half = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80_000))
+    texts = [half + " between " + half, "unrelated words of its own " + half[:5000]]
+    assert len(texts[0]) > 1 << 20
+    rows = {r.doc_id: r for r in operator(documents(texts)).collect()}
+    if operator is suffix_dedup.suffix_dedup:
+        lead = len(half) + len(" between ")
+        first = set(half[:99]) and rows[0].n_removed
+        assert len(half) <= first <= len(half) + 1 and rows[0].n_spans == 1 and rows[1].n_removed >= 5000 and lead
+    else:
+        assert rows[0].n_removed == 160_000 and rows[1].n_removed in (len(half[:5000].split()), len(half[:5000].split()) - 1)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larder.llm import language_id, mixing, quality_classifier, queries, simhash
+from larder.llm import language_id, mixing, quality_classifier, queries, shingle_dedup
 
 DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -50,6 +50,66 @@ def test_chain_marginals_against_all_paths():
         assert got[a:b] == pytest.approx(mass / total)
 
 
+def test_gradient_against_differences():
+    """The climb follows the conditional likelihood: its gradient, by marginals and expected transitions, is that of finite differences."""
+    rng = np.random.default_rng(4)
+    Chain, n = quality_classifier.LineChain, quality_classifier.N_FEATURES
+    features, before, labels = rng.integers(0, n, (12, 3)), np.array([0, 5, 6, 12]), np.array([1, 0, 1])
+    weights, links = rng.normal(size=n) * 0.3, rng.normal(size=(2, 2)) * 0.3
+    line_label = np.repeat(labels, np.diff(before))
+
+    def likelihood(w, k):
+        total = 0.0
+        emit = w[features].sum(axis=1)
+        for a, b in zip(before, before[1:]):
+            forward = np.array([0.0, emit[a]])
+            for t in range(a + 1, b):
+                forward = np.array([np.logaddexp(forward[0] + k[0, y], forward[1] + k[1, y]) + emit[t] * y for y in (0, 1)])
+            path = line_label[a:b]
+            total += (emit[a:b] * path).sum() + sum(k[i, j] for i, j in zip(path, path[1:])) - np.logaddexp(*forward)
+        return total
+
+    chain = Chain(weights, links)
+    good = chain.marginals(features, before)
+    by_weight = np.bincount(features.ravel(), weights=np.repeat(line_label - good, 3), minlength=n)
+    by_link = chain.pairs(features, before, line_label.astype(float)) - chain.pairs(features, before, good)
+    step = 1e-5
+    for i in np.unique(features)[:12]:
+        d = np.zeros(n)
+        d[i] = step
+        assert by_weight[i] == pytest.approx((likelihood(weights + d, links) - likelihood(weights - d, links)) / (2 * step), abs=1e-5)
+    for i, j in np.ndindex(2, 2):
+        d = np.zeros((2, 2))
+        d[i, j] = step
+        assert by_link[i, j] == pytest.approx((likelihood(weights, links + d) - likelihood(weights, links - d)) / (2 * step), abs=1e-5)
+
+
+def test_scores_against_a_plain_version(spark, documents):
+    """A document's score is the length-weighted mean of its lines' marginals, whatever slice it came in."""
+    rng = np.random.default_rng(5)
+    chain = quality_classifier.LineChain(rng.normal(size=quality_classifier.N_FEATURES) * 0.4, rng.normal(size=(2, 2)))
+    texts = ["One line here.", "", None, "A b\n\nC D! 12 %%\nlast line, with words", "same\nsame\nsame", "x " * 3000 + "\n" + "long tail"]
+    rows = sorted(quality_classifier.score_quality(documents(texts), None, chain=chain).collect(), key=lambda r: r.doc_id)
+    for r, text in zip(rows, texts):
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        features, weight, before = quality_classifier.line_features(data, np.array([0, len(data)]))
+        lines = [x for x in (text or "").split("\n") if x.split()]
+        assert list(weight) == ([len(x.encode()) for x in lines] or [1])
+        good = chain.marginals(features, before)
+        assert r.score == pytest.approx(float((good * weight).sum() / weight.sum())) and r.predicted == (r.score >= 0.3)
+
+
+def test_training_texts_are_whole_within_the_bound(spark, documents):
+    docs = documents(["line of words\n" * 50, "other words\n" * 8, "third text", "third text"], ids=[1, 2, 3, 3])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    usable = {r.doc_id for r in docs.where("pmod(crc32(string(doc_id)), 5) != 0").select("doc_id").distinct().collect()}
+    lines = {1: 50, 2: 8, 3: 1}
+    _, before, marks = quality_classifier.training_sample(docs, labels, "doc_id", "text", "quality", 3000, 300_000)
+    assert sorted(np.diff(before)) == sorted(lines[d] for d in usable) and len(marks) == len(usable)
+    _, before, _ = quality_classifier.training_sample(docs, labels, "doc_id", "text", "quality", 3000, 20)
+    assert sorted(np.diff(before)) == sorted(lines[d] for d in usable if d != 1)
+
+
 def test_mixture(spark, documents):
     texts = ["w " * k for k in range(1, 61)]
     sources = [["a", "b", None, "ü"][i % 4] if i < 40 else "a" for i in range(60)]
@@ -69,11 +129,20 @@ def test_mixture(spark, documents):
 
 @tables
 @pytest.mark.parametrize("name", sorted(queries.SQL))
-def test_query_against_sql(spark, name):
-    df = queries.QUERIES[name](spark, DATA)
+@pytest.mark.parametrize("nulls", [False, True])
+def test_query_against_sql(spark, tmp_path, name, nulls):
+    folder = DATA
+    if nulls:  # items without an id or text, documents without a text or source
+        folder = str(tmp_path)
+        for table, column in (("documents", "source"), ("benchmark", "item_id")):
+            df = spark.read.parquet(f"{DATA}/{table}.parquet").limit(60)
+            key = F.crc32(F.col("text"))
+            odd = df.withColumn(column, F.when(key % 3 == 0, None).otherwise(F.col(column))).withColumn("text", F.when(key % 7 == 1, None).otherwise(F.col("text")))
+            odd.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    df = queries.QUERIES[name](spark, folder)
     db = duckdb.connect()
     for t in ("documents", "benchmark"):
-        db.execute(f"create view {t} as from '{DATA}/{t}.parquet'")
+        db.execute(f"create view {t} as from '{folder}/{t}.parquet{'/*.parquet' if nulls else ''}'")
     want = db.execute(queries.SQL[name])
     columns = [d[0] for d in want.description]
     order = lambda names: sorted(range(len(names)), key=names.__getitem__)
@@ -104,7 +173,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if name == "language_id":
             assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in kept.select("doc_id").collect()} == {10_000, 10_001, 10_002, 10_003}
         if name == "simhash_near_dedup":
-            groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5).collect()}
+            groups = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(docs).collect()}
             assert {r.doc_id for r in kept.collect()} == {d for d, c in groups.items() if d == c}
         assert 0 < kept.count() <= docs.count()
         docs = kept
@@ -113,6 +182,37 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert all(r.t == round(r.g) for r in sums)
 
 
+CLASH = ("__gone", "gone", "removed_from", "__words", "__spots", "__items", "__stays", "stays", "c0", "c1", "h", "fp", "key", "size", "taken", "block", "carried", "row", "spans", "n")
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_stage_on_odd_tables(spark, documents, tmp_path, number):
+    """Clashing columns, null and repeated ids, null, empty and long texts, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[number]
+    item = " ".join(f"question{i}" for i in range(15))
+    spark.createDataFrame([("i", item), (None, "other " * 14), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"some{i % 977} words{i % 1009}" for i in range(60_000))
+    texts = ["a good line of words here\nsecond line", None, "", "one two three four five", "one two three four five", long, f"start {item} end " + "filler words here " * 200]
+    docs = documents(texts, ids=[7, 7, None, 3, 4, None, 5]).withColumns({c: F.lit("x") for c in CLASH})
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    last = number == len(corpus_pipeline.STAGES) - 1
+    if last:
+        assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"] and {r.text for r in rows} <= set(texts)
+    else:
+        assert out.columns == docs.columns and all(r[c] == "x" for r in rows for c in CLASH)
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    want = {
+        "language_id": [(False, 3), (False, 4), (False, 5), (False, 7), (True, 0)],
+        "line_dedup": [(False, 3), (False, 5), (False, 7), (False, 7), (True, 0), (True, 0)],
+        "simhash_near_dedup": [(False, 3), (False, 5), (False, 7), (False, 7), (True, 0), (True, 0)],
+        "benchmark_decontamination": [(False, 3), (False, 4), (False, 5), (False, 7), (False, 7), (True, 0), (True, 0)],
+        "mixing": None,
+    }[name]
+    assert last or ids == want, (name, ids)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 @tables
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
