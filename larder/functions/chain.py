@@ -140,7 +140,7 @@ def default_chain() -> Chain:
         ("stem:!num", "QTY"): 900,
         ("is_unit", "UNIT"): 420,
         ("is_ambiguous", "UNIT"): -150,
-        ("prev_stem:!num", "UNIT"): 120,
+        ("prev_stem:!num", "UNIT"): 20,
         ("is_punc", "PUNC"): 900,
         ("is_after_comma", "COMMENT"): 120,
         ("is_after_comma", "PREP"): 90,
@@ -175,6 +175,6 @@ def default_chain() -> Chain:
         ("COMMENT", "COMMENT"): 120,
         ("PREP", "PREP"): 150,
         ("PURPOSE", "PURPOSE"): 500,
-        ("QTY", "UNIT"): 100,
+        ("QTY", "UNIT"): 30,
     }
     return Chain(_LABELS, state, transitions, 100.0, 0.0)

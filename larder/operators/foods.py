@@ -240,19 +240,28 @@ class FoodTable:
     vectors: Vectors
     matrix: np.ndarray
 
+    def __post_init__(self):
+        self.lengths = np.sqrt((self.matrix * self.matrix).sum(axis=1, dtype=np.float32))
+
+    def nearest(self, query: np.ndarray) -> tuple[np.ndarray, Ranked]:
+        """Every food's distance, and the nearest foods in order: the ranking's depth, or more if more share the best distance."""
+        below = self.lengths * np.sqrt((query * query).sum(dtype=np.float32))
+        distance = 1 - np.divide(self.matrix @ query, below, out=np.zeros_like(below), where=below > 0).astype(np.float64)
+        deep = min(R.TOP, len(distance))
+        last = np.partition(distance, deep - 1)[deep - 1]
+        some = np.flatnonzero(distance <= last)
+        some = some[np.argsort(distance[some], kind="stable")]
+        same = int((distance == distance[some[0]]).sum())
+        return distance, [(int(i), float(distance[i])) for i in some[: max(deep, same)]]
+
     def decide(self, asked: Tagged, has_vector: bool, bm25: Ranked) -> tuple[int, float] | None:
         """The food's number and the confidence for prepared query tokens and their BM25 ranking."""
+        if not self.ids:
+            return None
         if not has_vector:
             return (bm25[0][0], 1.0) if bm25 else None
         known = [(t, g) for t, g in asked if t in self.vectors.vectors]
-        query = self.vectors.embed([t for t, _ in known], [g for _, g in known], [1.0] * len(known))
-        norm = np.sqrt((query * query).sum(dtype=np.float32))
-        lengths = np.sqrt((self.matrix * self.matrix).sum(axis=1, dtype=np.float32))
-        below = lengths * norm
-        ratio = np.divide(self.matrix @ query, below, out=np.zeros_like(below), where=below > 0)
-        distance = 1 - ratio.astype(np.float64)
-        order = np.argsort(distance, kind="stable")
-        semantic = [(int(i), float(distance[i])) for i in order]
+        distance, semantic = self.nearest(self.vectors.embed([t for t, _ in known], [g for _, g in known], [1.0] * len(known)))
         if bm25 and semantic:
             tops = {self.ids[i] for x in (bm25, semantic) for i, s in x if s == x[0][1]}
             if len(tops) == 1:
@@ -337,7 +346,7 @@ def match_foods(names: DataFrame, index: FoodIndex | None) -> DataFrame:
     queries = rest.select(F.col("key").alias("query"), F.transform("query", lambda x: x["token"]).alias("tokens"))
     nouns = rest.select(F.col("key").alias("query"), F.explode(F.filter("query", lambda x: F.startswith(x["tag"], F.lit("N")))).alias("n")).select("query", F.col("n.token").alias("token"))
     shares = nouns.join(F.broadcast(index.postings.select("token", "doc")), "token").select("query", "doc").distinct()
-    scored = R.bm25_scores(queries, F.broadcast(index.postings)).join(shares, ["query", "doc"], "left_semi")
+    scored = R.bm25_scores(queries, F.broadcast(index.postings), in_order=True).join(shares, ["query", "doc"], "left_semi")
     best = R.top_k(scored).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "score"))).alias("bm25"))
     ready = rest.join(best.withColumnRenamed("query", "key"), "key", "left").select("key", "query", "has_vector", "bm25")
     sent = index.broadcast

@@ -10,27 +10,42 @@ from pyspark.sql import functions as F
 K1, B = 1.5, 0.75
 TOP = 50
 AGREEMENT_P = 0.95
-MOST_QUERY_VALUES = 64_000_000  # doubles of query vectors that are broadcast at once
+MOST_QUERY_VALUES = 8_000_000  # doubles of query vectors in one broadcast (64 MB)
 
 
-def bm25_index(docs: DataFrame, doc: str = "doc", tokens: str = "tokens") -> DataFrame:
-    """Postings (token, doc, tf, doc_len, avgdl, idf): idf is ln(documents / documents with the token)."""
+def bm25_index(docs: DataFrame, doc: str = "doc", tokens: str = "tokens", asked: DataFrame | None = None) -> DataFrame:
+    """Postings (token, doc, tf, doc_len, avgdl, idf): idf is ln(documents / documents with the token).
+
+    With ``asked`` (query, tokens) only its tokens have postings: the others never reach a shuffle.
+    """
     sizes = docs.select(F.col(doc).alias("doc"), F.col(tokens).alias("tokens"), F.size(tokens).alias("doc_len"))
     totals = sizes.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
-    postings = sizes.select("doc", "doc_len", F.explode("tokens").alias("token")).groupBy("token", "doc", "doc_len").agg(F.count("*").alias("tf"))
+    every = sizes.select("doc", "doc_len", F.explode("tokens").alias("token"))
+    if asked is not None:
+        every = every.join(asked.select(F.explode("tokens").alias("token")).distinct(), "token", "left_semi")
+    postings = every.groupBy("token", "doc", "doc_len").agg(F.count("*").alias("tf"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     return postings.join(df, "token").join(F.broadcast(totals)).select("token", "doc", "tf", "doc_len", "avgdl", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, postings: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(queries: DataFrame, postings: DataFrame, k1: float = K1, b: float = B, in_order: bool = False, decimals: int = 9) -> DataFrame:
     """(query, doc, score, first): ``queries`` has query and tokens; a repeated token counts again. ``first`` is the place of the
-    first query token that the document holds, by which equal scores keep their order."""
+    first query token that the document holds, by which equal scores keep their order.
+
+    Parts are summed as they come and the sum is rounded to ``decimals``, so that it doesn't tell in which order; ``in_order`` sums them in the
+    order of the query's tokens instead, without rounding, for which each pair gathers its parts.  A token's hits are dealt out by query and
+    document; where one token has a large part of all postings, adaptive execution splits its join.
+    """
     asked = queries.select("query", F.posexplode("tokens").alias("place", "token"))
     length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (length + F.col("tf"))
-    hits = asked.join(postings, "token").select("query", "doc", "place", part.alias("part"))
-    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("place", "part"))), F.lit(0.0), lambda s, x: s + x["part"])
-    return hits.groupBy("query", "doc").agg(in_order.alias("score"), F.min("place").alias("first"))
+    if in_order:
+        hits = asked.join(postings, "token").select("query", "doc", "place", part.alias("part"))
+        total = F.aggregate(F.array_sort(F.collect_list(F.struct("place", "part"))), F.lit(0.0), lambda s, x: s + x["part"])
+        return hits.groupBy("query", "doc").agg(total.alias("score"), F.min("place").alias("first"))
+    counted = asked.groupBy("query", "token").agg(F.count("*").alias("times"), F.min("place").alias("place"))
+    hits = counted.join(postings, "token").select("query", "doc", "place", (part * F.col("times")).alias("part"))
+    return hits.groupBy("query", "doc").agg(F.round(F.sum("part"), decimals).alias("score"), F.min("place").alias("first"))
 
 
 def top_k(scores: DataFrame, k: int = TOP, ascending: bool = False, ties: tuple[str, ...] = ("first", "doc")) -> DataFrame:

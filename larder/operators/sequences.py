@@ -16,11 +16,25 @@ def with_context(tokens: DataFrame, by: str, place: str, value: str, reach: int
     return tokens.withColumns(more)
 
 
-def consecutive_runs(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, first, last, n): runs of neighbouring whole numbers; repeated ones count once."""
-    island = F.col(value) - F.row_number().over(Window.partitionBy(by).orderBy(value))
-    groups = df.select(by, value).distinct().withColumn("island", island).groupBy(by, "island")
-    return groups.agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("island")
+BLOCK = 1 << 16
+
+
+def consecutive_runs(df: DataFrame, by: str, value: str, block: int = BLOCK) -> DataFrame:
+    """(by, first, last, n): runs of neighbouring whole numbers; repeated ones count once.
+
+    Numbers are dealt out by ``by`` and blocks of ``block`` numbers, so that few values of ``by`` don't make few tasks; only runs
+    that touch a block's edge, two for each block at most, meet again by ``by`` and are joined.
+    """
+    cell = F.floor(F.col(value) / block).cast("bigint")
+    numbers = df.select(by, F.col(value).cast("bigint").alias(value)).distinct().withColumn("cell", cell)
+    island = F.col(value) - F.row_number().over(Window.partitionBy(by, "cell").orderBy(value))
+    runs = numbers.withColumn("island", island).groupBy(by, "cell", "island").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n"))
+    at_edge = (F.col("first") == F.col("cell") * block) | (F.col("last") == F.col("cell") * block + block - 1)
+    order = Window.partitionBy(by).orderBy("first")
+    fresh = F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True))
+    joined = runs.where(at_edge).withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(order))
+    joined = joined.groupBy(by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return runs.where(~at_edge).select(by, "first", "last", "n").unionByName(joined.drop("run"))
 
 
 def last_of_repeats(parts: Column) -> Column:

@@ -12,14 +12,14 @@ from dataclasses import replace
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import lexicon as L
 from ..functions import units as U
-from ..functions.chain import guess_name
+from ..functions.chain import Chain, guess_name
 from ..functions.features import Sentence, attributes
 from ..functions.normalise import add_normalised
 from ..functions.tokenise import tokens
@@ -224,6 +224,41 @@ def convert_amounts(df: DataFrame, unit: str, density: float = U.DENSITY, column
     )
 
 
+def combine_amounts(df: DataFrame, density: float = U.DENSITY, column: str = "parsed") -> DataFrame:
+    """Rows (…, amount, combined, unit): composite amounts of known quantities and units as one value in their first part's unit."""
+    whole = df.withColumn("amount", F.explode(f"{column}.amount")).where("amount.kind = 'composite'")
+    whole = whole.where(F.forall("amount.amounts", lambda p: p["unit"].isNotNull() & p["quantity"]["num"].isNotNull()))
+    parts = F.col("amount.amounts")
+    first = parts[0]["unit"]
+
+    def value(p: Column) -> Column:
+        return p["quantity"]["num"].cast("double") / p["quantity"]["den"]
+
+    def in_first(p: Column) -> Column:
+        si, to = value(p) * p["unit"]["si_factor"], first["dimension"]
+        bridge = F.when(p["unit"]["dimension"] == to, si).when((p["unit"]["dimension"] == "volume") & (to == "mass"), si * density)
+        bridge = bridge.when((p["unit"]["dimension"] == "mass") & (to == "volume"), si / density)
+        return bridge.otherwise(F.raise_error(F.concat(F.lit("Cannot convert "), p["unit"]["name"])).cast("double")) / first["si_factor"]
+
+    sign = F.when(F.col("amount.subtractive"), -1.0).otherwise(1.0)
+    total = F.aggregate(F.slice(parts, 2, F.size(parts)), value(parts[0]), lambda total, p: total + sign * in_first(p))
+    return whole.withColumn("combined", total).withColumn("unit", first["name"])
+
+
+def label_sequences(df: DataFrame, chain: Chain, column: str = "attributes") -> DataFrame:
+    """``df`` with labels, their marginals as scores, and all marginals of sequences of attribute sets (an array of arrays of strings)."""
+    added = _schema("labels array<string>, scores array<double>, marginals array<array<double>>")
+    target = to_arrow_schema(added)
+
+    def run(batches):
+        for batch in batches:
+            found = [chain.label([set(a or ()) for a in seen or []]) for seen in batch[column].to_pylist()]
+            made = [pa.array([r[k] if k < 2 else r[k].tolist() for r in found], f.type) for k, f in enumerate(target)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *target.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
+
 def register_sql(spark: SparkSession, options: Options | None = None, models: Models | None = None, name: str = "parse_ingredient") -> None:
     """A SQL function from normalised tokens to records: ``parse_ingredient(sentence, tokens)``."""
     options, models = check_options(options), models or Models()

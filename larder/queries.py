@@ -158,8 +158,13 @@ def html_unescape_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(N.unescape_html(F.col("html"))).alias("digest"))
 
 
+def _dealt(spark, df: DataFrame) -> DataFrame:
+    """Rows of a table in fewer files than there are cores are dealt out before work is done on each."""
+    return df.repartition(_cores(spark)) if df.rdd.getNumPartitions() < _cores(spark) else df
+
+
 def _doc_tokens(spark, sf_dir, name: str, key: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(key, T.tokens(F.col("text")).alias("tokens"))
+    return _dealt(spark, table(spark, sf_dir, name).select(key, "text")).select(key, T.tokens(F.col("text")).alias("tokens"))
 
 
 def token_count(spark, sf_dir):
@@ -168,8 +173,9 @@ def token_count(spark, sf_dir):
 
 
 def word_shape_histogram(spark, sf_dir):
-    df = _doc_tokens(spark, sf_dir, "documents", "doc_id").select(F.explode("tokens").alias("t")).where(~F.col("t").rlike(r"[^\x00-\x7F]"))
-    return df.groupBy(T.word_shape(F.col("t")).alias("shape")).agg(F.count("*").alias("n"))
+    """Distinct tokens are counted first and shaped once each."""
+    counts = _doc_tokens(spark, sf_dir, "documents", "doc_id").select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return counts.groupBy(T.word_shape(F.col("t")).alias("shape")).agg(F.sum("n").alias("n"))
 
 
 def context_features(spark, sf_dir):
@@ -188,17 +194,17 @@ def affix_features(spark, sf_dir):
 
 
 def length_bucket(spark, sf_dir):
-    n = F.size(F.split(F.col("text"), " "))
-    return table(spark, sf_dir, "conversations").groupBy(T.length_bucket(n).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    n = F.size(T.tokens(F.col("text")))
+    return _dealt(spark, table(spark, sf_dir, "conversations").select("text")).groupBy(T.length_bucket(n).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def numeric_tokens(spark, sf_dir):
-    words = F.array(*[F.col("p_size").cast("string"), F.concat("p_size", F.lit("x")), F.concat("p_size", F.lit("-two")), F.lit("00"), F.col("p_name"), F.lit("#1$2"), F.lit("dozen")])
+    words = F.array(*[F.col("p_size").cast("string"), F.concat("p_size", F.lit("x")), F.concat("p_size", F.lit("-two")), F.lit("00"), F.col("p_name"), F.lit("#1$2"), F.lit("dozen"), F.when(F.col("p_size") % 2 == 0, "six-x").otherwise("6.5"), F.when(F.col("p_size") % 3 == 0, "00").otherwise("000")])
     return table(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(words, T.is_numeric)).alias("n"))
 
 
 def consecutive_runs(spark, sf_dir):
-    return S.consecutive_runs(table(spark, sf_dir, "documents").where("n_chars > 1000").select("lang", "doc_id"), "lang", "doc_id")
+    return S.consecutive_runs(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
 
 
 def adjacent_dedupe(spark, sf_dir):
@@ -218,12 +224,13 @@ def label_patterns(spark, sf_dir):
 
 
 def _lower_words(name: str, key: str, spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("k"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: t != "").alias("tokens"))
+    return _dealt(spark, table(spark, sf_dir, name).select(key, "text")).select(F.col(key).alias("k"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: t != "").alias("tokens"))
 
 
 def bm25_topk(spark, sf_dir):
-    index = R.bm25_index(_lower_words("documents", "doc_id", spark, sf_dir), "k")
-    scores = R.bm25_scores(_lower_words("benchmark", "item_id", spark, sf_dir).withColumnRenamed("k", "query"), index)
+    asked = _lower_words("benchmark", "item_id", spark, sf_dir).withColumnRenamed("k", "query")
+    index = R.bm25_index(_lower_words("documents", "doc_id", spark, sf_dir), "k", asked=asked)
+    scores = R.bm25_scores(asked, index)
     rounded = scores.withColumn("score", F.round("score", 6))
     return R.top_k(rounded, 5, ties=("doc",)).select("query", "doc", "score", "rank")
 
@@ -329,15 +336,15 @@ SQL = {
     "html_unescape_pages": """select page_id, md5(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) digest from pages""",
     "token_count": f"""select doc_id, len(w)::bigint n_tokens, len(list_filter(w, lambda t: t in (',', '.', ':', ';', '?', '!')))::bigint n_punctuation from (select doc_id, {_SPLIT} w from documents)""",
     "word_shape_histogram": f"""select regexp_replace(regexp_replace(regexp_replace(t, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'd', 'g') shape, count(*) n
-  from (select unnest({_SPLIT}) t from documents) where not regexp_matches(t, '[^\\x00-\\x7F]') group by 1""",
+  from (select strip_accents(unnest({_SPLIT})) t from documents) group by 1""",
     "context_features": f"""select item_id, place, token, lag(token) over w prev_1, lag(token, 2) over w prev_2, lead(token) over w next_1, lead(token, 2) over w next_2
   from (select item_id, unnest(w) token, (generate_subscripts(w, 1) - 1)::int place from (select item_id, {_SPLIT} w from benchmark)) window w as (partition by item_id order by place)""",
     "after_comma": f"""select conv_id, sum(case when list_contains(w, ',') then len(w) - list_position(w, ',') else 0 end)::bigint n_after_comma
   from (select conv_id, {_SPLIT} w from conversations) group by conv_id""",
     "affix_features": f"""select size, left(t, size) prefix, right(t, size) suffix, count(*) n from (select unnest({_SPLIT}) t from benchmark), (values (3), (4), (5)) k(size) where length(t) > size group by all""",
-    "length_bucket": """select coalesce((select max(b) from (values (2), (4), (8), (12), (16), (20), (32), (64)) v(b) where b <= len(string_split(text, ' '))), 1)::int bucket, count(*) n from conversations group by 1""",
-    "numeric_tokens": "select p_partkey, 5 n from part",
-    "consecutive_runs": """select lang, min(doc_id) "first", max(doc_id) "last", count(*) n from (select lang, doc_id, doc_id - row_number() over (partition by lang order by doc_id) g from documents where n_chars > 1000) group by lang, g""",
+    "length_bucket": f"""select coalesce((select max(b) from (values (2), (4), (8), (12), (16), (20), (32), (64)) v(b) where b <= len({_SPLIT})), 1)::int bucket, count(*) n from conversations group by 1""",
+    "numeric_tokens": "select p_partkey, 5 + (p_size % 2)::int + (p_size % 3 > 0)::int n from part",
+    "consecutive_runs": """select lang, min(doc_id) "first", max(doc_id) "last", count(*) n from (select lang, doc_id, doc_id - row_number() over (partition by lang order by doc_id) g from documents) group by lang, g""",
     "adjacent_dedupe": r"""select doc_id, len(p)::int n_lines, len(list_filter(p, lambda x, i: x <> coalesce(p[i + 1], '')))::int n_kept from (select doc_id, string_split(text, chr(10)) p from documents)""",
     "stop_word_runs": f"""select lower(t) word, count(*) n from (select unnest({_SPLIT}) t from documents) where lower(t) in ({', '.join("'" + w.replace("'", "''") + "'" for w in sorted(S.L.STOP_WORDS))}) group by 1""",
     "label_patterns": """select o_orderkey, len(regexp_extract_all(regexp_replace(translate(md5(o_orderkey::varchar), '0123456789', 'QQQQQUUUUU'), '[^QU]', '', 'g'), 'QUU'))::int n from orders""",
@@ -357,3 +364,8 @@ select "query", round((1 - 0.95::double) * list_sum(list(c / k * pow(0.95::doubl
 select coalesce(x."query", y."query") "query", coalesce(x.doc, y.doc) doc, round((cx.c * coalesce(x.n, 0) + cy.c * (1 - coalesce(y.n, 1))) / (cx.c + cy.c), 6) score
 from x full join y on x."query" = y."query" and x.doc = y.doc join cx on cx."query" = coalesce(x."query", y."query") join cy on cy."query" = coalesce(x."query", y."query")""",
 }
+
+from . import food_queries, record_queries  # noqa: E402
+
+QUERIES |= record_queries.QUERIES | food_queries.QUERIES
+SQL |= record_queries.SQL | food_queries.SQL

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,48 +24,63 @@ def read_gzip_json(path: str):
         return json.load(f)
 
 
+FILES = {"chain": "model.en.json.gz", "tagger": "averaged_perceptron_tagger_eng.json.gz", "tagdict": "ingredient_tagdict.json.gz"}
+MOST_BYTES = 256 << 20
+
+
 @dataclass(frozen=True)
 class Models:
-    """Where weights are, by path; without a path the rule tagger and the hand-set chain are used.
+    """Where weights are: paths that every worker can open, or files that were read on the driver and broadcast; without any the rule
+    tagger and the hand-set chain are used.
 
-    Workers load the files themselves and keep them: a plan holds paths, not weights.
+    Workers unpack what they need once and keep it: a plan holds paths or a broadcast, not weights.
     """
 
     chain_path: str | None = None
     tagger_path: str | None = None
     tagdict_path: str | None = None
+    sent: Broadcast | None = None
+    key: str = ""
 
     @classmethod
     def from_directory(cls, folder: str) -> Models:
-        """Files by their usual names, each optional."""
-        names = {"chain_path": "model.en.json.gz", "tagger_path": "averaged_perceptron_tagger_eng.json.gz", "tagdict_path": "ingredient_tagdict.json.gz"}
-        return cls(**{k: str(p) for k, n in names.items() if (p := Path(folder) / n).exists()})
+        """Files of a local folder by their usual names, each optional."""
+        return cls(**{f"{k}_path": str(p) for k, n in FILES.items() if (p := Path(folder) / n).exists()})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Models:
+        """Files by their usual names, each optional, of a folder that Spark can read, on whatever filesystem.  They are broadcast as
+        they are, ``MOST_BYTES`` together at most."""
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(folder).where(F.element_at(F.split("path", "/"), -1).isin(*FILES.values()))
+        if (found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) > MOST_BYTES:
+            raise ValueError(f"model files are broadcast: {MOST_BYTES} bytes at most")
+        files = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in found.collect()}
+        return cls(sent=spark.sparkContext.broadcast({k: files[n] for k, n in FILES.items() if n in files}), key=uuid.uuid4().hex)
+
+    def _read(self, kind: str, path: str | None):
+        if self.sent is None:
+            if path and not path.endswith(".json.gz"):
+                raise ValueError(f"weights are in a .json.gz file, not in {path}")
+            return read_gzip_json(path) if path else None
+        return json.loads(gzip.decompress(self.sent.value[kind])) if kind in self.sent.value else None
+
+    def _kept(self, kind: str, path: str | None, make):
+        name = (kind, path, self.key)
+        if name not in _made:
+            _made[name] = make(self._read(kind, path))
+        return _made[name]
 
     def chain(self) -> Chain:
-        return _chain(self.chain_path)
+        return self._kept("chain", self.chain_path, lambda x: Chain.from_json(x) if x else default_chain())
 
     def tagger(self):
-        return _tagger(self.tagger_path)
+        return self._kept("tagger", self.tagger_path, lambda x: PerceptronTagger(x["weights"], x["tagdict"], x["classes"]) if x else RuleTagger())
 
     def tagdict(self) -> dict[str, str]:
-        return read_gzip_json(self.tagdict_path) if self.tagdict_path else {}
+        return self._kept("tagdict", self.tagdict_path, lambda x: x or {})
 
 
-@cache
-def _chain(path: str | None) -> Chain:
-    if path is None:
-        return default_chain()
-    if not path.endswith(".json.gz"):
-        raise ValueError(f"a chain's weights are in a .json.gz file, not in {path}")
-    return Chain.from_json(read_gzip_json(path))
-
-
-@cache
-def _tagger(path: str | None):
-    if path is None:
-        return RuleTagger()
-    data = read_gzip_json(path)
-    return PerceptronTagger(data["weights"], data["tagdict"], data["classes"])
+_made: dict[tuple, object] = {}
 
 
 def read_glove(spark: SparkSession, path: str) -> DataFrame:
