@@ -164,17 +164,6 @@ def _ordered(names: set[str | None]) -> list[str | None]:
     return sorted(names, key=lambda x: (x is None, x or ""))
 
 
-_indexes: dict[str, ItemIndex] = {}
-
-
-def _index(key: str, items: list[tuple[str | None, str | None]], window: int) -> ItemIndex:
-    """This worker's automaton, built once for each broadcast; the one before it goes first."""
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = ItemIndex(items, window)
-    return _indexes[key]
-
-
 def _shards(items: DataFrame, item_id: str, text: str, shard_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items dealt by hash into lists of about ``shard_bytes``, read one at a time; one empty list where there are none."""
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
@@ -232,7 +221,7 @@ def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_tex
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(key, sent.value, window)
+        index = K.kept(key, lambda: ItemIndex(sent.value, window))
         for batch in batches:
             for part in K.slices(batch, text_col):
                 found = index.hits(*K.string_buffer(part.column(place)))

@@ -163,6 +163,18 @@ def map_slices(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+_kept: tuple[str, object] = ("", None)
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, built once in a worker and kept for its next tasks.  A worker keeps one such thing only, whatever operator it is for."""
+    global _kept
+    if _kept[0] != key:
+        _kept = ("", None)  # the old one goes before the new one is made
+        _kept = (key, make())
+    return _kept[1]
+
+
 def small_batches(df: DataFrame) -> None:
     """Bound the bytes of the Arrow batches that go to Python, as whole texts may be long, unless the session has a bound of its own.
 

@@ -24,7 +24,6 @@ code point; repeated rows get equal results; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import uuid
 from functools import cache
 
 import numpy as np
@@ -87,6 +86,7 @@ def letter_bytes(text: str) -> bytes:
 class CrossParser:
     """Transition tables of all languages' automata in one array."""
 
+    #: Built on the driver from the bounded sample and broadcast as arrays: some 15 MB for each language.
     def __init__(self, references: dict[str, str], block: int = BLOCK):
         self.block = block
         self.languages, self.columns, self.roots, self.bits, tables = [], [], [], [], []
@@ -196,17 +196,6 @@ class CrossParser:
         return out_lang, out_score
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
-def _parser(key: str, references: dict[str, str]) -> CrossParser:
-    """This worker's parser, built once for each broadcast."""
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(references)
-    return _parsers[key]
-
-
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -221,11 +210,11 @@ def identify(
     """
     if references is None:
         references = reference_sample(docs, id_col, text_col, lang_col, reference_chars)
-    sent, key = docs.sparkSession.sparkContext.broadcast(references), uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast(CrossParser(references))
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def make():
-        parser = _parser(key, sent.value)
+        parser = sent.value
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = parser.predict(part.column(2).to_pylist())
@@ -239,12 +228,13 @@ def identify(
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reference_chars: int = REFERENCE_CHARS) -> DataFrame:
     """All columns of the documents whose text has an identifiable language; the others go.  A null label takes the language found."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(reference_sample(docs, id_col, text_col, lang_col, reference_chars)), uuid.uuid4().hex
+    parser_ = CrossParser(reference_sample(docs, id_col, text_col, lang_col, reference_chars))
+    sent = docs.sparkSession.sparkContext.broadcast(parser_)
     names = docs.columns
     place, label = names.index(text_col), names.index(lang_col)
 
     def run(batches):
-        parser = _parser(key, sent.value)
+        parser = sent.value
         for batch in batches:
             for part in K.slices(batch, place):
                 langs, _ = parser.predict(part.column(place).to_pylist())

@@ -20,6 +20,7 @@ counted each; a text without blanks is encoded whole, however long; an empty tab
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -135,9 +136,6 @@ class TokenCounter:
         return [next(one) if len(t) <= self.chunked.chunk else len(self.chunked.tokens(t)[0]) for t in texts]
 
 
-_counters: dict[tuple, TokenCounter] = {}
-
-
 def token_counts(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
 ) -> DataFrame:
@@ -148,13 +146,8 @@ def token_counts(
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
-        key = (path, chunk, overlap)
-        if key not in _counters:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            _counters[key] = TokenCounter(path, chunk, overlap)
-        counter = _counters[key]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        counter = K.kept(f"{path} {chunk} {overlap}", lambda: TokenCounter(path, chunk, overlap))
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in part.column(1).to_pylist()]
