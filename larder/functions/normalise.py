@@ -7,6 +7,8 @@ is an Arrow function that only rows with an ampersand reach.
 from __future__ import annotations
 
 import html
+import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,8 +34,11 @@ def strip_blank(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 
 
+_PRICE = rf"\({BLANK}*(?:\$|£|€|¥|₹){BLANK}*[0-9.,]+\**{BLANK}*\)"
+
+
 def remove_prices(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\({BLANK}*(?:\$|£|€|¥|₹){BLANK}*[0-9.,]+\**{BLANK}*\)", "")
+    return F.regexp_replace(c, _PRICE, "")
 
 
 def replace_dashes(c: Column) -> Column:
@@ -57,14 +62,20 @@ def replace_fraction_characters(c: Column) -> Column:
     return c
 
 
+_BY_AND = rf"({DIGIT}+){BLANK}and{BLANK}({DIGIT})/({DIGIT}+)"
+
+
 def join_quantities_by_and(c: Column) -> Column:
-    return F.regexp_replace(c, rf"({DIGIT}+){BLANK}and{BLANK}({DIGIT})/({DIGIT}+)", r"$1#$2\$$3")
+    return F.regexp_replace(c, _BY_AND, r"$1#$2\$$3")
+
+
+_PLAIN_FRACTION = rf"({DIGIT}*{BLANK}*{DIGIT}/{DIGIT}+)"
 
 
 def mark_fractions(c: Column) -> Column:
     """``1 1/2`` becomes ``1#1$2``: the longest first, each wherever it stands; ratios such as 80/20 stay."""
     c = F.replace(c, F.lit("⁄"), F.lit("/"))
-    found = F.transform(F.regexp_extract_all(c, F.lit(rf"({DIGIT}*{BLANK}*{DIGIT}/{DIGIT}+)"), F.lit(1)), lambda m: strip_blank(m))
+    found = F.transform(F.regexp_extract_all(c, F.lit(_PLAIN_FRACTION), F.lit(1)), lambda m: strip_blank(m))
     ordered = F.array_sort(F.transform(found, lambda m, i: F.struct((-F.length(m)).alias("size"), i.alias("place"), m.alias("text"))))
 
     def mark(text: Column, m: Column) -> Column:
@@ -78,17 +89,27 @@ def mark_fractions(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("/")), F.aggregate(ordered, c, mark)).otherwise(c)
 
 
+#: Patterns that part quantities from units, with what stands between their two groups then.
+_PARTED = (
+    (rf"({DIGIT})-?({_SPLIT_UNITS})(?![a-wyzA-WYZ])", " "),
+    (rf"({_SPLIT_UNITS})({DIGIT})", " "),
+    (rf"({_SPLIT_UNITS})-({DIGIT})", " - "),
+    (rf"(?i){BEFORE_WORD}({_WORDS})-({_SPLIT_UNITS}){AFTER_WORD}", " "),
+)
+
+
 def split_quantities_and_units(c: Column) -> Column:
-    c = F.regexp_replace(c, rf"({DIGIT})-?({_SPLIT_UNITS})(?![a-wyzA-WYZ])", "$1 $2")
-    c = F.regexp_replace(c, rf"({_SPLIT_UNITS})({DIGIT})", "$1 $2")
-    c = F.regexp_replace(c, rf"({_SPLIT_UNITS})-({DIGIT})", "$1 - $2")
-    words = rf"(?i){BEFORE_WORD}({_WORDS})-({_SPLIT_UNITS}){AFTER_WORD}"
-    return F.regexp_replace(c, words, "$1 $2")
+    for pattern, between in _PARTED:
+        c = F.regexp_replace(c, pattern, f"$1{between}$2")
+    return c
+
+
+_DOTTED = ["tsp.", "tsps.", "tbsp.", "tbsps.", "tbs.", "tb.", "lb.", "lbs.", "oz."]  # fixed values
+_DOTTED += [L.capitalise(u) for u in _DOTTED]
 
 
 def drop_unit_periods(c: Column) -> Column:
-    units = ["tsp.", "tsps.", "tbsp.", "tbsps.", "tbs.", "tb.", "lb.", "lbs.", "oz."]  # fixed values
-    for unit in units + [L.capitalise(u) for u in units]:
+    for unit in _DOTTED:
         c = F.replace(c, F.lit(unit), F.lit(unit[:-1]))
     return c
 
@@ -118,12 +139,16 @@ def merge_duplicate_units(c: Column) -> Column:
     return F.when(c.rlike(_DUPLICATE_UNITS), F.aggregate(found, c, merge)).otherwise(c)
 
 
+_MULTIPLIER = rf"({_AMOUNT}){BLANK}[xX]{BLANK}*"
+_SPACED_RANGE = rf"({DIGIT}){BLANK}*-{BLANK}*([{DIGIT}#])"
+
+
 def merge_multipliers(c: Column) -> Column:
-    return F.regexp_replace(c, rf"({_AMOUNT}){BLANK}[xX]{BLANK}*", "$1x ")
+    return F.regexp_replace(c, _MULTIPLIER, "$1x ")
 
 
 def collapse_ranges(c: Column) -> Column:
-    return F.regexp_replace(c, rf"({DIGIT}){BLANK}*-{BLANK}*([{DIGIT}#])", "$1-$2")
+    return F.regexp_replace(c, _SPACED_RANGE, "$1-$2")
 
 
 #: The rules by name, in the order in which they apply.
@@ -149,3 +174,43 @@ def add_normalised(df, sentence: str = "sentence", out: str = "normalised"):
     for rule in RULES.values():
         df = df.withColumn(out, rule(F.col(out)))
     return df.withColumn(out, strip_blank(F.col(out)))
+
+
+@cache
+def _in_python(pattern: str) -> re.Pattern:
+    """The same pattern for Python's engine, whose blanks are others and whose digits are all decimal ones."""
+    blank = BLANK.replace(r"\s", r" \t\n\r\f").replace(r"\x0B", r"\x0b")
+    blank = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", blank)
+    return re.compile(pattern.replace(BLANK, blank).replace(DIGIT, r"\d"))
+
+
+def _stripped(text: str) -> str:
+    return _in_python(rf"^{BLANK}+|{BLANK}+\Z").sub("", text)
+
+
+def normalise_text(text: str) -> str:
+    """The rules for one sentence in Python, for SQL functions that are given sentences; equal to the column form."""
+    text = _in_python(_PRICE).sub("", text).replace("–", "-").replace("—", " - ")
+    text = html.unescape(text) if "&" in text else text
+    for lead, out in (("-", "-"), ("", " ")):
+        for character, spelled in L.FRACTION_CHARACTERS.items():
+            text = text.replace(lead + character, out + spelled)
+    text = _in_python(_BY_AND).sub(r"\1#\2$\3", text).replace("⁄", "/")
+    for found in sorted((_stripped(m) for m in _in_python(_PLAIN_FRACTION).findall(text)), key=lambda m: -len(m)):
+        top, bottom = found.split("/")[:2]
+        if " " in found:
+            text = text.replace(found, _in_python(f"{BLANK}+").sub("#", found.replace("/", "$")))
+        elif not (top.isdecimal() and bottom.isdecimal() and int(top) + int(bottom) == 100):
+            text = text.replace(found, "#" + found.replace("/", "$"))
+    for pattern, between in _PARTED:
+        text = _in_python(pattern).sub(rf"\1{between}\2", text)
+    for unit in _DOTTED:
+        text = text.replace(unit, unit[:-1])
+    text = _in_python(_STRING_RANGE).sub(r"\1-\5", text)
+    known = set(L.UNIT_WORDS)
+    group = lambda u: L.SYNONYM_GROUP.get(L.UNITS.get(u, u)) if u in known else None
+    for whole, low, first, high, second in _in_python(_DUPLICATE_UNITS).findall(text):
+        if (first in known or first in L.LENGTH_UNITS) and (first == second or (group(first) is not None and group(first) == group(second))):
+            text = text.replace(whole, f"{low}-{high} {first}")
+    text = _in_python(_MULTIPLIER).sub(r"\1x ", text)
+    return _stripped(_in_python(_SPACED_RANGE).sub(r"\1-\2", text))

@@ -21,8 +21,9 @@ from ..functions import lexicon as L
 from ..functions import units as U
 from ..functions.chain import Chain, guess_name
 from ..functions.features import Sentence, attributes
-from ..functions.normalise import add_normalised
+from ..functions.normalise import add_normalised, normalise_text
 from ..functions.tokenise import tokens
+from ..functions.words import tokenise
 from ..operators.amounts import Amount, Composite, Labelled, Options
 from ..operators.record import Record, RecordBuilder, Text
 from ..sources.models import Models
@@ -194,6 +195,13 @@ def inspect(df: DataFrame, column: str = "sentence", options: Options | None = N
     return crossed.select("row.*", *[c for c in crossed.columns if c not in ("row", "sentence", "name_tokens")])
 
 
+def describe(row) -> str:
+    """One row of ``inspect`` as text, stage by stage, for a look at what became of a sentence."""
+    words = [f"{t.index}: {t.text} ({t.feat_text}) {t.pos_tag} {t.label} {t.score:.3f}" for t in row.labelled]
+    phrases = [f"{k}: {v}" for k, v in (row.phrases.asDict() if row.phrases else {}).items() if v]
+    return "\n".join([f"sentence: {row.sentence}", f"normalised: {row.normalised}", "tokens:", *(f"  {w}" for w in words), *phrases])
+
+
 def build_records(df: DataFrame, options: Options | None = None, labelled: str = "labelled_tokens", sentence: str = "sentence") -> DataFrame:
     """Records of tokens that are labelled already: ``labelled`` is an array of (index, text, pos_tag, label, score, plural)."""
     options = check_options(options)
@@ -260,11 +268,18 @@ def label_sequences(df: DataFrame, chain: Chain, column: str = "attributes") ->
 
 
 def register_sql(spark: SparkSession, options: Options | None = None, models: Models | None = None, name: str = "parse_ingredient") -> None:
-    """A SQL function from normalised tokens to records: ``parse_ingredient(sentence, tokens)``."""
+    """A SQL function from sentences to records: ``parse_ingredient(sentence)``; and ``parse_ingredient_tokens(sentence, tokens)`` for
+    tokens that are there already."""
     options, models = check_options(options), models or Models()
+    kind = _schema(f"parsed {RECORD}")["parsed"].dataType
+
+    @F.udf(returnType=kind, useArrow=True)
+    def of_sentence(sentence):
+        return _row(sentence, tokenise(normalise_text(sentence)) if sentence is not None else [], options, models, False)["parsed"]
 
-    @F.udf(returnType=_schema(f"parsed {RECORD}")["parsed"].dataType, useArrow=True)
-    def parse_ingredient(sentence, words):
+    @F.udf(returnType=kind, useArrow=True)
+    def of_tokens(sentence, words):
         return _row(sentence, list(words) if words is not None else [], options, models, False)["parsed"]
 
-    spark.udf.register(name, parse_ingredient)
+    spark.udf.register(name, of_sentence)
+    spark.udf.register(f"{name}_tokens", of_tokens)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def test_normalise(spark):
     assert got == [want for _, want in SENTENCES]
 
 
+def test_python_form_equals_the_column_form(spark):
+    rng = random.Random(3)
+    pieces = ["2", "1/2", "½", "3.5", " ", " ", "-", "–", "—", "to", "or", "and", "g", "cups", "lb", "oz.", "tsp.", "x", "&frac12;", "&amp;", "⅓", "⁄", "80/20", "three", "Six", "pound", "\u00a0", "\u3000", "($2.50*)", "(", ")", "rye", "10 g", "12 gram", "٣", "\t", "4 kg", "0.5", "#1$2"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9))) for _ in range(1500)] + [s for s, _ in SENTENCES if s is not None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, sentence string")
+    got = [r.normalised for r in N.add_normalised(df).orderBy("id").collect()]
+    assert [(t, N.normalise_text(t)) for t in texts] == list(zip(texts, got))
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(TOKENS)], "id int, s string")
     got = [r.t for r in df.select("id", T.tokens(F.col("s")).alias("t")).orderBy("id").collect()]

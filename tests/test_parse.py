@@ -49,7 +49,10 @@ def test_given_labels_and_json(spark):
 
 def test_sql_function(spark):
     register_sql(spark)
-    row = spark.sql("select parse_ingredient('2 cups flour', array('2', 'cups', 'flour')) p").first()
+    row = spark.sql("select parse_ingredient('2cups flour—sifted') p").first()
+    assert row.p.amount[0].text == "2 cups" and row.p.name[0].text == "flour" and row.p.sentence == "2cups flour—sifted"
+    assert spark.sql("select parse_ingredient(null) p").first().p.amount == []
+    row = spark.sql("select parse_ingredient_tokens('2 cups flour', array('2', 'cups', 'flour')) p").first()
     assert row.p.amount[0].text == "2 cups"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larder import Options, parse
 from larder.operators import ranking as R
 from larder.operators import sequences as S
-from larder.plans.parse import combine_amounts, inspect
+from larder.plans.parse import combine_amounts, describe, inspect
 from larder.sources.models import Models
 
 
@@ -99,5 +99,9 @@ def test_default_labels_on_own_sentences(spark):
     assert right / words >= 0.9 and whole / len(LABELLED) >= 0.6
 
 
-def test_default_labels_count_columns(spark):
-    assert inspect(spark.createDataFrame([("2 cups rye",)], "sentence string")).select(F.size("marginals")).first()[0] == 3
+def test_a_row_of_inspect_as_text(spark):
+    rows = inspect(spark.createDataFrame([(0, "2 cups rye or oat flour"), (1, None)], "id int, sentence string")).orderBy("id")
+    said = [describe(r) for r in rows.collect()]
+    assert said[0].split("\n")[:5] == ["sentence: 2 cups rye or oat flour", "normalised: 2 cups rye or oat flour", "tokens:", said[0].split("\n")[3], said[0].split("\n")[4]]
+    assert said[0].split("\n")[4].startswith("  1: cup (cup) ") and "multiple: [[2, 3, 4, 5]]" in said[0] and said[1].startswith("sentence: None")
+    assert rows.select(F.size("marginals")).first()[0] == 6
