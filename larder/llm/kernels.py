@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
