@@ -197,7 +197,7 @@ def inspect(df: DataFrame, column: str = "sentence", options: Options | None = N
 
 def describe(row) -> str:
     """One row of ``inspect`` as text, stage by stage, for a look at what became of a sentence."""
-    words = [f"{t.index}: {t.text} ({t.feat_text}) {t.pos_tag} {t.label} {t.score:.3f}" for t in row.labelled]
+    words = [f"{t['index']}: {t.text} ({t.feat_text}) {t.pos_tag} {t.label} {t.score:.3f}" for t in row.labelled]
     phrases = [f"{k}: {v}" for k, v in (row.phrases.asDict() if row.phrases else {}).items() if v]
     return "\n".join([f"sentence: {row.sentence}", f"normalised: {row.normalised}", "tokens:", *(f"  {w}" for w in words), *phrases])
 
