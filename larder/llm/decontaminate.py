@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,9 +197,10 @@ def benchmark_hits(
     return found.select("doc_id", F.col(WORDS).alias("n_words"), spans.alias("spans"), F.col(ITEMS).alias("items")).select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, shard_bytes: int, keep_text: bool) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, shard_bytes: int, keep_text: bool, then: Callable | None = None, schema: StructType | None = None) -> DataFrame:
     """``docs``, whose columns are c0, c1 and so on, with the numbers of words, hit spans and items of each row: a pass for each automaton,
-    which adds to what the passes before it found. Without ``keep_text`` the last pass leaves the text out."""
+    which adds to what the passes before it found. Without ``keep_text`` the last pass leaves the text out; with ``then`` it gives what that makes
+    of each batch, of the given schema, in the same worker."""
     spark = docs.sparkSession
     for name, kind in ((WORDS, "bigint"), (SPOTS, SPANS), (ITEMS, "array<string>")):
         docs = docs.withColumn(name, F.lit(None).cast(kind))
@@ -207,13 +208,14 @@ def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_t
     ahead = next(shards)
     while ahead is not None:
         shard, ahead = ahead, next(shards, None)
-        docs = _pass(docs, spark.sparkContext.broadcast(shard), text_col, window, keep_text or ahead is not None)
-        if ahead is not None:  # or the workers of all passes would live at once
+        last = ahead is None
+        docs = _pass(docs, spark.sparkContext.broadcast(shard), text_col, window, keep_text or not last, then if last else None, schema)
+        if not last:  # or the workers of all passes would live at once
             docs = cut(docs)
     return docs
 
 
-def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_text: bool) -> DataFrame:
+def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_text: bool, then: Callable | None, given: StructType | None) -> DataFrame:
     names = docs.columns
     place, own = names.index(text_col), len(names) - 3
     out = [i for i in range(own) if keep_text or i != place]
@@ -228,10 +230,11 @@ def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_tex
                 spans = [(old or []) + [{"lo": a, "hi": b} for a, b in x[2]] for old, x in zip(part.column(own + 1).to_pylist(), found)]
                 texts = [_ordered({*(old or []), *x[3]}) for old, x in zip(part.column(own + 2).to_pylist(), found)]
                 made = [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, part.column(own + 1).type), pa.array(texts, part.column(own + 2).type)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), *made], schema.names)
+                done = pa.RecordBatch.from_arrays([*(part.column(i) for i in out), *made], schema.names)
+                yield then(done) if then else done
 
     K.small_batches(docs)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, given if then else schema)
 
 
 def contaminated(n_words: Column, n_hit: Column, percent: int = 5) -> Column:
@@ -256,30 +259,26 @@ def decontaminate(
     names = docs.columns
     place = names.index(text_col)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    spots = _hits(plain, items, f"c{place}", item_id, item_text, window, SHARD_BYTES, keep_text=True).drop(WORDS, ITEMS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, place):
-                keep: list[int] = []
-                texts = part.column(place)
-                cut: dict[int, str] = {}
-                for row, spans in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    if spans:
-                        text = np.frombuffer(texts[row].as_py().encode("utf-8", "replace"), dtype=np.uint8)
-                        starts, ends, _ = K.find_words(K.LOWER[text], np.array([0, len(text)]), _WORD_BYTE)
-                        mask = K.union_lengths(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]), len(starts))
-                        if int(mask.sum()) * 100 >= len(starts) * percent:
-                            continue
-                        cut[row] = _without(text.tobytes(), starts, ends, mask)
-                    keep.append(row)
-                if cut:
-                    texts = pa.array([cut[i] if i in cut else texts[i].as_py() for i in range(part.num_rows)], texts.type)
-                columns = [texts if i == place else part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int64()))
-
-    K.small_batches(docs)
-    return spots.mapInArrow(run, docs.schema)
+    def cut_out(part: pa.RecordBatch) -> pa.RecordBatch:
+        keep: list[int] = []
+        texts = part.column(place)
+        left: dict[int, str] = {}
+        for row, spans in enumerate(part.column(len(names) + 1).to_pylist()):
+            if spans:
+                text = np.frombuffer(texts[row].as_py().encode("utf-8", "replace"), dtype=np.uint8)
+                starts, ends, _ = K.find_words(K.LOWER[text], np.array([0, len(text)]), _WORD_BYTE)
+                mask = K.union_lengths(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]), len(starts))
+                if int(mask.sum()) * 100 >= len(starts) * percent:
+                    continue
+                left[row] = _without(text.tobytes(), starts, ends, mask)
+            keep.append(row)
+        if left:
+            texts = pa.array([left[i] if i in left else texts[i].as_py() for i in range(part.num_rows)], texts.type)
+        columns = [texts if i == place else part.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names).take(pa.array(keep, pa.int64()))
+
+    return _hits(plain, items, f"c{place}", item_id, item_text, window, SHARD_BYTES, keep_text=True, then=cut_out, schema=docs.schema)
 
 
 def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:

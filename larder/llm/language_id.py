@@ -24,6 +24,7 @@ code point; repeated rows get equal results; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from copy import copy
 from functools import cache
 
 import numpy as np
@@ -84,12 +85,14 @@ def letter_bytes(text: str) -> bytes:
 
 
 class CrossParser:
-    """Transition tables of all languages' automata in one array."""
+    """Transition tables of all languages' automata in one array.
+
+    The automata are built on the driver, from the bounded sample, and sent as their transitions; a task unpacks the table, some 15 MB for each language.
+    """
 
-    #: Built on the driver from the bounded sample and broadcast as arrays: some 15 MB for each language.
     def __init__(self, references: dict[str, str], block: int = BLOCK):
         self.block = block
-        self.languages, self.columns, self.roots, self.bits, tables = [], [], [], [], []
+        self.languages, self.columns, self.roots, self.bits, self.packed = [], [], [], [], []
         at = 0
         for lang, text in references.items():
             read = letter_bytes(text)
@@ -99,26 +102,33 @@ class CrossParser:
             column = np.zeros(257, dtype=np.int32)  # 0: bytes that the reference hasn't
             column[present] = np.arange(1, len(present) + 1)
             column[256] = len(present) + 1  # behind a text's end
-            table = self._table(column[np.frombuffer(read, dtype=np.uint8)].tolist(), len(present) + 2, at)
+            a, width = SuffixAutomaton([column[np.frombuffer(read, dtype=np.uint8)].tolist()]), len(present) + 2
+            moves = np.array([(state, symbol, to) for state, found in enumerate(a.next) for symbol, to in found.items()], dtype=np.int32)
             self.languages.append(lang)
             self.columns.append(column)
             self.roots.append(np.int32(at))
             self.bits.append(math.log2(len(read) + 2))
-            tables.append(table)
-            at += len(table)
-        self.table = np.concatenate(tables) if tables else None
+            self.packed.append((len(a.next), width, moves))
+            at += len(a.next) * width
+        self.table = None
+
+    def unpacked(self) -> CrossParser:
+        """A parser with its table."""
+        out = copy(self)
+        tables = [self._table(*packed, int(at)) for packed, at in zip(self.packed, self.roots)]
+        out.table = np.concatenate(tables) if tables else None
+        return out
 
     @staticmethod
-    def _table(symbols: list[int], width: int, at: int) -> np.ndarray:
+    def _table(states: int, width: int, moves: np.ndarray, at: int) -> np.ndarray:
         """For each state and symbol the next state (as the place of its row in the whole table) and whether a phrase begins."""
-        a = SuffixAutomaton([symbols])
+        state, symbol, to = moves.T
+        place = at + to * np.int32(width)
         root = np.full(width, at, dtype=np.int32)
-        for symbol, to in a.next[0].items():
-            root[symbol] = at + to * width
-        table = np.tile(root | _NEW, (len(a.next), 1))
-        for state in range(1, len(a.next)):
-            for symbol, to in a.next[state].items():
-                table[state, symbol] = at + to * width
+        root[symbol[state == 0]] = place[state == 0]
+        table = np.tile(root | _NEW, (states, 1))
+        inner = state > 0
+        table[state[inner], symbol[inner]] = place[inner]
         table[:, width - 1] = at
         return table.ravel()
 
@@ -214,7 +224,7 @@ def identify(
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def make():
-        parser = sent.value
+        parser = sent.value.unpacked()
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = parser.predict(part.column(2).to_pylist())
@@ -234,7 +244,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place, label = names.index(text_col), names.index(lang_col)
 
     def run(batches):
-        parser = sent.value
+        parser = sent.value.unpacked()
         for batch in batches:
             for part in K.slices(batch, place):
                 langs, _ = parser.predict(part.column(place).to_pylist())

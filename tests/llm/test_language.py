@@ -22,7 +22,7 @@ def greedy(known, read):
 def test_phrases_as_a_plain_parser_counts_them(block):
     rng = random.Random(2)
     references = {"a": "".join(rng.choice("abcd é") for _ in range(400)), "zh": "".join(rng.choice("我们今天在市场𠀀𠀁") for _ in range(300))}
-    parser = language_id.CrossParser(references, block)
+    parser = language_id.CrossParser(references, block).unpacked()
     texts = ["".join(rng.choice("abcd é我们今𠀀x😀") for _ in range(rng.randrange(1, 200))) for _ in range(150)]
     read = [r for r in map(language_id.letter_bytes, texts) if r]
     got = parser.phrases(read)
@@ -32,7 +32,7 @@ def test_phrases_as_a_plain_parser_counts_them(block):
 
 def test_a_long_text_is_parsed_as_a_whole():
     reference = "the quick brown fox jumps over the lazy dog " * 30
-    parser = language_id.CrossParser({"en": reference})
+    parser = language_id.CrossParser({"en": reference}).unpacked()
     long = language_id.letter_bytes(reference * 800)
     assert len(long) > 1 << 20
     assert parser.phrases([long, long[:700]])[0].tolist() == [greedy(language_id.letter_bytes(reference), long), 1]
