@@ -222,6 +222,7 @@ def _pass(docs: DataFrame, sent: Broadcast, text_col: str, window: int, keep_tex
     schema = StructType([docs.schema.fields[i] for i in [*out, own, own + 1, own + 2]])
     key = uuid.uuid4().hex
 
+    @K.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = K.kept(key, lambda: ItemIndex(sent.value, window))
         for batch in batches:

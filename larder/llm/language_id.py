@@ -243,6 +243,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     place, label = names.index(text_col), names.index(lang_col)
 
+    @K.tidied
     def run(batches):
         parser = sent.value.unpacked()
         for batch in batches:
