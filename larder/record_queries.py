@@ -56,7 +56,16 @@ def _case(*cases: str) -> str:
     return f"case p_partkey % {len(cases)} {whens} end"
 
 
-A, N, SIZE = F.col("a"), F.col("n"), F.col("s")
+def _a() -> Column:
+    return F.col("a")
+
+
+def _n() -> Column:
+    return F.col("n")
+
+
+def _s() -> Column:
+    return F.col("s")
 
 
 def _names(df: DataFrame) -> DataFrame:
@@ -67,23 +76,23 @@ def _names(df: DataFrame) -> DataFrame:
 def names_by_variant(spark, sf_dir):
     """Variants and modifiers of a name, several names, and adjectives that wait for the next name."""
     cases = (
-        _said((A, "NAME_MOD"), ("beef", "NAME_VAR"), ("or", "NAME_SEP"), ("chicken", "NAME_VAR"), (N, "B_NAME_TOK")),
-        _said(("large", "B_NAME_TOK", "JJ"), ("or", "NAME_SEP", "CC"), ("small", "B_NAME_TOK", "JJ"), (N, "I_NAME_TOK", "NN")),
-        _said((A, "B_NAME_TOK", "JJ"), (N, "I_NAME_TOK", "NN"), ("or", "NAME_SEP", "CC"), ("oil", "B_NAME_TOK", "NN")),
-        _said((A, "NAME_MOD", "NN"), (N, "B_NAME_TOK", "NN"), ("raw", "NAME_MOD", "NN"), ("oil", "B_NAME_TOK", "NN")),
+        _said((_a(), "NAME_MOD"), ("beef", "NAME_VAR"), ("or", "NAME_SEP"), ("chicken", "NAME_VAR"), (_n(), "B_NAME_TOK")),
+        _said(("large", "B_NAME_TOK", "JJ"), ("or", "NAME_SEP", "CC"), ("small", "B_NAME_TOK", "JJ"), (_n(), "I_NAME_TOK", "NN")),
+        _said((_a(), "B_NAME_TOK", "JJ"), (_n(), "I_NAME_TOK", "NN"), ("or", "NAME_SEP", "CC"), ("oil", "B_NAME_TOK", "NN")),
+        _said((_a(), "NAME_MOD", "NN"), (_n(), "B_NAME_TOK", "NN"), ("raw", "NAME_MOD", "NN"), ("oil", "B_NAME_TOK", "NN")),
     )
     return _names(_records(spark, sf_dir, *cases))
 
 
 def names_as_one(spark, sf_dir):
-    case = _said((A, "B_NAME_TOK"), ("or", "NAME_SEP"), (N, "B_NAME_TOK"))
+    case = _said((_a(), "B_NAME_TOK"), ("or", "NAME_SEP"), (_n(), "B_NAME_TOK"))
     return _names(_records(spark, sf_dir, case, options=Options(separate_names=False)))
 
 
 def names_repeated(spark, sf_dir):
     """Equal names become one, with the mean of their confidences."""
     key = F.col("p_partkey")
-    df = _records(spark, sf_dir, _said((N, "B_NAME_TOK", "NN", key % 8 / 8), (",", "PUNC"), (N, "B_NAME_TOK", "NN", (key + 3) % 8 / 8)))
+    df = _records(spark, sf_dir, _said((_n(), "B_NAME_TOK", "NN", key % 8 / 8), (",", "PUNC"), (_n(), "B_NAME_TOK", "NN", (key + 3) % 8 / 8)))
     one = F.col("parsed.name")
     return df.select("p_partkey", F.size(one).alias("n"), one[0]["text"].alias("name"), one[0]["confidence"].alias("confidence"))
 
@@ -91,9 +100,9 @@ def names_repeated(spark, sf_dir):
 def text_assembly(spark, sf_dir):
     """Preparation in brackets, a comment in two places, an opening bracket without its match."""
     cases = (
-        _said((N, "B_NAME_TOK"), (",", "PUNC"), ("(", "PUNC"), ("chopped", "PREP"), (",", "PUNC"), (A, "PREP"), (")", "PUNC")),
-        _said((A, "COMMENT", "JJ", 0.25), (SIZE, "QTY"), ("cup", "UNIT"), (A, "COMMENT", "JJ", 0.75), (N, "B_NAME_TOK")),
-        _said((N, "B_NAME_TOK"), ("(", "PUNC"), ("sliced", "PREP"), (",", "PUNC")),
+        _said((_n(), "B_NAME_TOK"), (",", "PUNC"), ("(", "PUNC"), ("chopped", "PREP"), (",", "PUNC"), (_a(), "PREP"), (")", "PUNC")),
+        _said((_a(), "COMMENT", "JJ", 0.25), (_s(), "QTY"), ("cup", "UNIT"), (_a(), "COMMENT", "JJ", 0.75), (_n(), "B_NAME_TOK")),
+        _said((_n(), "B_NAME_TOK"), ("(", "PUNC"), ("sliced", "PREP"), (",", "PUNC")),
     )
     p = F.col("parsed")
     return _records(spark, sf_dir, *cases).select(
@@ -102,7 +111,7 @@ def text_assembly(spark, sf_dir):
 
 
 def stop_words_alone(spark, sf_dir):
-    cases = (_said(("of", "COMMENT"), (N, "B_NAME_TOK")), _said(("of", "COMMENT"), (A, "COMMENT"), (N, "B_NAME_TOK")))
+    cases = (_said(("of", "COMMENT"), (_n(), "B_NAME_TOK")), _said(("of", "COMMENT"), (_a(), "COMMENT"), (_n(), "B_NAME_TOK")))
     dropped = _records(spark, sf_dir, *cases).select("p_partkey", F.col("parsed.comment.text").alias("dropped"))
     kept = _records(spark, sf_dir, *cases, options=Options(discard_isolated_stop_words=False)).select("p_partkey", F.col("parsed.comment.text").alias("kept"))
     return dropped.join(kept, "p_partkey")
@@ -117,19 +126,19 @@ def _flags(df: DataFrame) -> DataFrame:
 def prepared_side(spark, sf_dir):
     """An amount on the far side of the preparation is one of the prepared ingredient."""
     cases = (
-        _said((SIZE, "QTY"), ("cup", "UNIT"), (N, "B_NAME_TOK"), (",", "PUNC"), ("chopped", "PREP"), (",", "PUNC"), (SIZE + 1, "QTY"), ("cup", "UNIT")),
-        _said((SIZE, "QTY"), ("cup", "UNIT"), ("chopped", "PREP"), (N, "B_NAME_TOK"), (SIZE + 1, "QTY"), ("cup", "UNIT")),
+        _said((_s(), "QTY"), ("cup", "UNIT"), (_n(), "B_NAME_TOK"), (",", "PUNC"), ("chopped", "PREP"), (",", "PUNC"), (_s() + 1, "QTY"), ("cup", "UNIT")),
+        _said((_s(), "QTY"), ("cup", "UNIT"), ("chopped", "PREP"), (_n(), "B_NAME_TOK"), (_s() + 1, "QTY"), ("cup", "UNIT")),
     )
     return _flags(_records(spark, sf_dir, *cases))
 
 
 def each_and_about(spark, sf_dir):
     cases = (
-        _said((SIZE, "QTY"), ("cup", "UNIT"), ("each", "COMMENT"), (N, "B_NAME_TOK")),
-        _said((N, "B_NAME_TOK"), ("each", "COMMENT"), ("about", "COMMENT"), (SIZE, "QTY"), ("cup", "UNIT")),
-        _said((N, "B_NAME_TOK"), ("to", "COMMENT"), ("yield", "COMMENT"), (SIZE, "QTY"), ("cup", "UNIT")),
-        _said(("to", "COMMENT"), ("make", "COMMENT"), ("about", "COMMENT"), (SIZE, "QTY"), ("cup", "UNIT")),
-        _said((SIZE, "QTY"), ("cup", "UNIT"), ("or", "COMMENT"), ("so", "COMMENT"), (N, "B_NAME_TOK")),
+        _said((_s(), "QTY"), ("cup", "UNIT"), ("each", "COMMENT"), (_n(), "B_NAME_TOK")),
+        _said((_n(), "B_NAME_TOK"), ("each", "COMMENT"), ("about", "COMMENT"), (_s(), "QTY"), ("cup", "UNIT")),
+        _said((_n(), "B_NAME_TOK"), ("to", "COMMENT"), ("yield", "COMMENT"), (_s(), "QTY"), ("cup", "UNIT")),
+        _said(("to", "COMMENT"), ("make", "COMMENT"), ("about", "COMMENT"), (_s(), "QTY"), ("cup", "UNIT")),
+        _said((_s(), "QTY"), ("cup", "UNIT"), ("or", "COMMENT"), ("so", "COMMENT"), (_n(), "B_NAME_TOK")),
     )
     return _flags(_records(spark, sf_dir, *cases))
 
@@ -147,15 +156,15 @@ def _sql_picked(words, key: str = "p_partkey") -> str:
 
 def number_words(spark, sf_dir):
     """Number words and halves joined by ``and`` are one quantity, a rational."""
-    df = _records(spark, sf_dir, _said((_picked(_WORDS), "QTY"), ("and", "QTY"), ("1/2", "QTY"), ("cup", "UNIT"), (N, "B_NAME_TOK")))
+    df = _records(spark, sf_dir, _said((_picked(_WORDS), "QTY"), ("and", "QTY"), ("1/2", "QTY"), ("cup", "UNIT"), (_n(), "B_NAME_TOK")))
     q = F.col("parsed.amount")[0]["amounts"][0]
     return df.select("p_partkey", q["quantity"]["num"].alias("num"), q["quantity"]["den"].alias("den"), q["text"].alias("said"))
 
 
 def fraction_values(spark, sf_dir):
     cases = (
-        _said((F.concat(SIZE, F.lit("#3$4")), "QTY"), ("cup", "UNIT"), (N, "B_NAME_TOK")),
-        _said((F.concat(SIZE, F.lit("-"), SIZE, F.lit("#1$2")), "QTY"), ("cup", "UNIT"), (N, "B_NAME_TOK")),
+        _said((F.concat(_s(), F.lit("#3$4")), "QTY"), ("cup", "UNIT"), (_n(), "B_NAME_TOK")),
+        _said((F.concat(_s(), F.lit("-"), _s(), F.lit("#1$2")), "QTY"), ("cup", "UNIT"), (_n(), "B_NAME_TOK")),
     )
     q = F.col("parsed.amount")[0]["amounts"][0]
     return _records(spark, sf_dir, *cases).select(
@@ -166,8 +175,8 @@ def fraction_values(spark, sf_dir):
 def composite_fields(spark, sf_dir):
     """Text, confidence, place and system of a composite amount, and its sum in the first part's unit."""
     cases = (
-        _said((SIZE, "QTY", "", 0.5), ("lb", "UNIT", "", 0.5), (SIZE + 3, "QTY", "", 0.25), ("oz", "UNIT", "", 0.25), (N, "B_NAME_TOK")),
-        _said((SIZE + 2, "QTY"), ("cup", "UNIT"), ("minus", "COMMENT"), (SIZE + 1, "QTY"), ("tablespoon", "UNIT"), (N, "B_NAME_TOK")),
+        _said((_s(), "QTY", "", 0.5), ("lb", "UNIT", "", 0.5), (_s() + 3, "QTY", "", 0.25), ("oz", "UNIT", "", 0.25), (_n(), "B_NAME_TOK")),
+        _said((_s() + 2, "QTY"), ("cup", "UNIT"), ("minus", "COMMENT"), (_s() + 1, "QTY"), ("tablespoon", "UNIT"), (_n(), "B_NAME_TOK")),
     )
     df = P.combine_amounts(_records(spark, sf_dir, *cases))
     a = F.col("amount")
@@ -177,10 +186,10 @@ def composite_fields(spark, sf_dir):
 def unit_words(spark, sf_dir):
     """Units of two words, misread words, units of thousandths and products of units."""
     cases = (
-        _said((SIZE + 1, "QTY"), ("fl", "UNIT"), ("oz", "UNIT"), (N, "B_NAME_TOK")),
-        _said((SIZE + 1, "QTY"), ("tin", "UNIT"), (N, "B_NAME_TOK")),
-        _said((SIZE + 1, "QTY"), ("mg", "UNIT"), (N, "B_NAME_TOK")),
-        _said((SIZE + 1, "QTY"), ("gram", "UNIT"), ("cup", "UNIT"), (N, "B_NAME_TOK")),
+        _said((_s() + 1, "QTY"), ("fl", "UNIT"), ("oz", "UNIT"), (_n(), "B_NAME_TOK")),
+        _said((_s() + 1, "QTY"), ("tin", "UNIT"), (_n(), "B_NAME_TOK")),
+        _said((_s() + 1, "QTY"), ("mg", "UNIT"), (_n(), "B_NAME_TOK")),
+        _said((_s() + 1, "QTY"), ("gram", "UNIT"), ("cup", "UNIT"), (_n(), "B_NAME_TOK")),
     )
     q = F.col("parsed.amount")[0]["amounts"][0]
     return _records(spark, sf_dir, *cases).select("p_partkey", q["unit"]["name"].alias("unit"), q["unit"]["dimension"].alias("dimension"), q["unit_text"].alias("said"))
@@ -188,20 +197,20 @@ def unit_words(spark, sf_dir):
 
 def unit_options(spark, sf_dir):
     """Units as strings, units of another region, and units of one's own."""
-    case = _said((SIZE + 1, "QTY"), ("cup", "UNIT"), (N, "B_NAME_TOK"))
+    case = _said((_s() + 1, "QTY"), ("cup", "UNIT"), (_n(), "B_NAME_TOK"))
     q = F.col("parsed.amount")[0]["amounts"][0]
     found = _parts(spark, sf_dir).select("p_partkey")
     for name, options in (("strings", Options(string_units=True)), ("imperial", Options(volumetric_units_system="imperial")), ("japanese", Options(volumetric_units_system="japanese"))):
         df = _records(spark, sf_dir, case, options=options).select("p_partkey", q["unit_text"].alias(name), q["unit_system"].alias(f"{name}_system"))
         found = found.join(df, "p_partkey")
-    own = _parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", (SIZE + 1).cast("string"), F.lit("snargs"), A, N).alias("sentence"))
+    own = _parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", (_s() + 1).cast("string"), F.lit("snargs"), _a(), _n()).alias("sentence"))
     own = P.parse(own, options=Options(custom_units={"snargs": "snarg"})).select("p_partkey", q["unit_text"].alias("own"), q["text"].alias("own_said"))
     return found.join(own, "p_partkey")
 
 
 def guessed_name(spark, sf_dir):
     """A sentence without a name gets its likeliest stretch as one where that is asked for."""
-    rows = _parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", SIZE.cast("string"), F.lit("cups")).alias("sentence"))
+    rows = _parts(spark, sf_dir).select("p_partkey", F.concat_ws(" ", _s().cast("string"), F.lit("cups")).alias("sentence"))
     plain = P.parse(rows, options=Options(expect_name_in_output=False)).select("p_partkey", F.size("parsed.name").alias("n_names"))
     many = P.parse_many(spark, ["1 cup oil", "", "2 cups oil"]).select(F.col("sentence_id").alias("p_partkey"), F.get("parsed.amount", F.lit(0))["text"].alias("said"))
     return plain.join(many, "p_partkey", "left")
@@ -260,7 +269,7 @@ def _enumerated(n: int, labels: list[str]) -> str:
 
 
 def inside_brackets(spark, sf_dir):
-    words = [(A, "(", N, "x", ")", "y"), ("(", A, ")", N, "(", "z"), (A, ")", "[", N, "]", "x"), (A, N, "x", "y", "z", "w")]
+    words = [(_a(), "(", _n(), "x", ")", "y"), ("(", _a(), ")", _n(), "(", "z"), (_a(), ")", "[", _n(), "]", "x"), (_a(), _n(), "x", "y", "z", "w")]
     cases = [F.array(*[F.lit(w) if isinstance(w, str) else w for w in c]) for c in words]
     texts = F.element_at(F.array(*cases), (F.col("p_partkey") % len(cases) + 1).cast("int"))
     inside = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.when(T.inside_parentheses(F.col("texts"), i), "1").otherwise("0"))
@@ -269,12 +278,12 @@ def inside_brackets(spark, sf_dir):
 
 def chunk_phrases(spark, sf_dir):
     """Phrases of several ingredients, examples, dimensions, and where another ingredient begins."""
-    n = SIZE.cast("string")
+    n = _s().cast("string")
     cases = [
-        F.concat_ws(" ", n, F.lit("cups butter or"), A, N),
-        F.concat_ws(" ", n, F.lit("cups"), N, F.lit("such as"), A, F.lit("rings")),
-        F.concat_ws(" ", n, F.lit("inch piece"), N),
-        F.concat_ws(" ", n, F.lit("cups"), N, F.lit("or 2 cups"), A, F.lit("rings")),
+        F.concat_ws(" ", n, F.lit("cups butter or"), _a(), _n()),
+        F.concat_ws(" ", n, F.lit("cups"), _n(), F.lit("such as"), _a(), F.lit("rings")),
+        F.concat_ws(" ", n, F.lit("inch piece"), _n()),
+        F.concat_ws(" ", n, F.lit("cups"), _n(), F.lit("or 2 cups"), _a(), F.lit("rings")),
     ]
     said = F.element_at(F.array(*cases), (F.col("p_partkey") % 4 + 1).cast("int"))
     found = P.inspect(_parts(spark, sf_dir).select("p_partkey", said.alias("sentence")))
@@ -282,19 +291,19 @@ def chunk_phrases(spark, sf_dir):
 
 
 def collapsed_ranges(spark, sf_dir):
-    n, m = SIZE.cast("string"), (SIZE + 2).cast("string")
+    n, m = _s().cast("string"), (_s() + 2).cast("string")
     said = F.element_at(F.array(F.concat(n, F.lit(" -  "), m, F.lit(" cups")), F.concat(n, F.lit(" or "), m, F.lit(" cups")), F.concat(n, F.lit("x "), m, F.lit(" cups"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     return add_normalised(_parts(spark, sf_dir).select("p_partkey", said.alias("sentence"))).select("p_partkey", "normalised")
 
 
 def joined_conjunction(spark, sf_dir):
-    said = F.concat_ws(" ", A, _picked(["and / or", "and/or", "and / nor"]), N, F.lit("(x),"))
+    said = F.concat_ws(" ", _a(), _picked(["and / or", "and/or", "and / nor"]), _n(), F.lit("(x),"))
     return _parts(spark, sf_dir).select("p_partkey", F.array_join(T.tokens(said), "|").alias("tokens"))
 
 
 def token_flags(spark, sf_dir):
     """Capitals, units, punctuation, ambiguous units and dimensions of tokens, and their feature texts."""
-    words = F.array(F.initcap(N), F.lit("cup"), F.lit("inch"), F.lit(","), F.lit("--"), F.lit("thick"), SIZE.cast("string"), F.lit("clove"))
+    words = F.array(F.initcap(_n()), F.lit("cup"), F.lit("inch"), F.lit(","), F.lit("--"), F.lit("thick"), _s().cast("string"), F.lit("clove"))
     bits = lambda test: F.array_join(F.transform(words, lambda w: F.when(test(w), "1").otherwise("0")), "")
     tests = {"capital": T.is_capitalised, "unit": T.is_unit, "punctuation": T.is_punctuation, "ambiguous": T.is_ambiguous_unit, "dimension": T.is_dimension}
     return _parts(spark, sf_dir).select("p_partkey", *[bits(test).alias(name) for name, test in tests.items()], F.array_join(F.transform(words, lambda w: T.feature_text(w)), " ").alias("features"))
@@ -314,7 +323,7 @@ _TAG_WEIGHTS = {
 def perceptron_tags(spark, sf_dir):
     """An averaged perceptron with given weights: each tag depends on the one before."""
     tagger = PerceptronTagger(_TAG_WEIGHTS, {"plate": "NNP"}, ["NN", "JJ", "CD", "XX"])
-    words = F.array(SIZE.cast("string"), A, N, F.lit("two-fold"), F.lit("1999"))
+    words = F.array(_s().cast("string"), _a(), _n(), F.lit("two-fold"), F.lit("1999"))
     tags = F.udf(lambda w: " ".join(tagger.tag(list(w))), "string", useArrow=True)
     return _parts(spark, sf_dir).select("p_partkey", tags(words).alias("tags"))
 

@@ -39,3 +39,12 @@ def test_entry_without_the_optional_part(spark, monkeypatch):
     monkeypatch.setattr(entry, "llm_queries", None)
     monkeypatch.setattr(entry, "corpus_pipeline", None)
     assert set(entry.queries()) == set(queries.QUERIES)
+
+
+def test_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout.split()[-1]) > 60, said.stderr[-500:]
