@@ -1,12 +1,13 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-A text of up to ``chunk_chars`` is one chunk and encoded at once.  A longer one is encoded in chunks
+A text of up to ``chunk_chars`` is one chunk.  A longer one is encoded in chunks
 that overlap; each chunk's tokens carry their offsets, and neighbouring chunks are
 spliced at a proven stable boundary: a place in the overlap that follows a blank,
 where both encodings begin a token and agree on every token up to the end of the
 overlap's settled part.  That proves it only where no pre-token spans a blank, so that what
 stands behind such a place doesn't depend on what stands before it: ``splits_at_blanks`` reads
-that from the tokenizer's own description, and texts are encoded whole where it can't.  Where an
+that from the tokenizer's own description, and texts are encoded whole where it can't.  What makes a boundary stable also makes
+a chunk's count the sum over its words; as words repeat, a worker keeps the counts that the library gave for them.  Where an
 overlap has no such place, it is widened to twice its length, in the end to the
 whole text.
 
@@ -31,6 +32,7 @@ from . import kernels as K
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
+MEMO_WORDS = 600_000
 #: Patterns of pre-tokenizers, as tokenizer files spell them, that match no blank.
 BLANKLESS_PATTERNS = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "\\w+|[^\\w\\s]+")
 
@@ -110,7 +112,7 @@ class ChunkedEncoder:
 class TokenCounter:
     """Counts tokens as the library does."""
 
-    def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
+    def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, memo_words: int = MEMO_WORDS):
         self.chunked = None
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
@@ -124,9 +126,19 @@ class TokenCounter:
             e = tokenizer.encode(text, add_special_tokens=False)
             return e.ids, [o[0] for o in e.offsets]
 
-        self._counts = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._counts = self._encoded = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if splits_at_blanks(json.loads(tokenizer.to_str())):
             self.chunked = ChunkedEncoder(encode, chunk, overlap)
+            self.memo_words, self.memo, self._counts = memo_words, {"": 0}, lambda texts: list(map(self._by_words, texts))
+
+    def _by_words(self, text: str) -> int:
+        """Tokens of one chunk: those of its words, as the library gives them, from a table of bounded size."""
+        words = text.replace("\n", " ").split(" ")
+        if new := list({w for w in words if w not in self.memo}):
+            if len(self.memo) + len(new) > self.memo_words:
+                self.memo, new = {"": 0}, list(set(words) - {""})
+            self.memo.update(zip(new, self._encoded(new)))
+        return sum(map(self.memo.__getitem__, words))
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text: texts of one chunk go to the library together."""
