@@ -12,17 +12,17 @@ similarity and where single bits of ``BITS`` minima, put beside the length in on
 (chance neighbours differ in about 20).  Candidates are verified by edit similarity (at least ``SIMILARITY``
 of the longer line's characters), and one occurrence for each connected group stays: the first by (doc_id, line).
 
-In every bucket the lines are first compared with one of them only, its centre.  Of what that leaves in several groups, buckets of
-up to ``SMALL`` lines are compared pair by pair; crowded ones, such as those of lines that share a passage but not the rest, are
-dealt out under keys twice as long (a key together with each of the next ``NEXT_KEYS``) and go the same way again, but that lines
-which even then are in a crowd are compared with its centre only.  So a crowd costs in proportion to its size.  Texts are sent only for lines that share a key, found by a bitmap of
+In every bucket the lines are first compared with one of them only, its centre.  What that leaves in several groups is compared pair by
+pair: buckets of up to ``SMALL`` lines by joins; crowded ones, such as those of lines that share a passage but not the rest, in cells of
+two chunks of about ``CHUNK`` lines, where lines of one group aren't compared.  So no candidate is lost to a crowd, and a crowd of lines
+that aren't similar costs the square of its size in comparisons, dealt out over the cells.  Texts are sent only for lines that share a key, found by a bitmap of
 bounded size; the edit distances of a batch of pairs are taken side by side, as far as they may stay within the limit.
 
 Defined results: a null or empty text has no lines and nothing removed; rows that share an
 id are one document, and equal places in them are one occurrence; a null id comes first;
 a text's other lines, blank ones included, stay as they are and in order; two different lines of
 one 64-bit hash (one in 10^19 pairs) are grouped with their exact copies only; an empty table gives no rows.
-In crowded buckets the centre depends on the order in which rows arrive, so reruns may differ in single lines there.
+Which line is a bucket's centre depends on the order in which rows arrive; the groups don't.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ class Grams(NamedTuple):
 
 CLASSES = (Grams(5, 0, 40, 16, 1), Grams(7, 32, 200, 10, 1), Grams(8, 160, 0, 7, 4))
 GRAMS_AT_ONCE = 1 << 16
-NEXT_KEYS = 3
+CHUNK = 512
+PAIRS_AT_ONCE = 1 << 12
 SIDE_BY_SIDE = 1 << 14
 LENGTH_BITS = 9
 LENGTH_MASK = (1 << LENGTH_BITS) - 1
@@ -147,15 +148,16 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= limit and (a == b or within(a, b, limit) or edit_distance(a, b) <= limit)
 
 
-def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> np.ndarray:
-    """``similar`` for many pairs: those of nearly the same length that the plain way of editing doesn't settle are compared side by side."""
+def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY, plain: bool = True) -> np.ndarray:
+    """``similar`` for many pairs: those of nearly the same length that the plain way of editing doesn't settle are compared side by side.
+    Without ``plain`` all of them are, which is quicker where few are similar."""
     out = np.zeros(len(pairs), dtype=bool)
     longer = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
     order = []
     for i, (a, b) in enumerate(longer):
         limit = _limit(a, b, least)
         if len(a) - len(b) <= limit:
-            out[i] = a == b or within(a, b, limit)
+            out[i] = a == b or (plain and within(a, b, limit))
             if not out[i]:
                 order.append(i)
     order.sort(key=lambda i: len(longer[i][0]))
@@ -451,7 +453,7 @@ class _Buckets:
     """Goes through rows (key, h, fp) sorted by key, and gives the members of buckets of two lines or more, each beside the bucket's
     centre: a star, however large the bucket.  Only the open bucket's centre is kept.  Two lines alone that aren't near go.
 
-    Which line is the centre, the first of its order in the batch where the bucket begins, doesn't matter for the groups in the end but in crowds; an order of its own for half of the keys makes it another
+    Which line is the centre, the first of its order in the batch where the bucket begins, doesn't matter for the groups in the end; an order of its own for half of the keys makes it another
     line in half of a group's buckets, so that lines far from one centre are near another.
     """
 
@@ -536,34 +538,67 @@ def _all_pairs(mixed: DataFrame, small: int) -> DataFrame:
     return few.select(F.explode(F.expr(pair)).alias("p")).select("p.a", "p.b")
 
 
-def _longer_keys(crowded: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(key, h, fp): the lines of crowded buckets under the key that they share together with each of the next few, twice as long."""
-    lines_ = cut(crowded.select("h").distinct())
-    own = sketched.join(F.broadcast(lines_) if lines_.count() <= FEW else lines_, "h", "left_semi").select("h", "fp", "keys")
-    place = F.array_position("keys", F.col("key"))  # from 1; 0 is the sketch of the line's other class
-    both = crowded.select("key", "h").join(own, "h").withColumn("place", place).where("place > 0")
-    others = F.transform(F.sequence(F.lit(0), F.lit(NEXT_KEYS - 1)), lambda d: F.get("keys", ((F.col("place") + d) % F.size("keys")).cast("int")))
-    pairs = both.select("key", "h", "fp", F.explode(F.array_distinct(others)).alias("other"))
-    return pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "h", "fp")
-
-
-def _left_apart(members: DataFrame, sketched: DataFrame, roots: DataFrame, small: int) -> DataFrame:
-    """Candidates (a, b) in buckets that hold several groups yet: all pairs of a small bucket; a crowded one is dealt out under longer keys,
-    where each line meets a centre again, and all pairs of what has become small."""
+def _links(h: np.ndarray, fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, texts: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar lines, by their places, that connect what is similar among candidates of different groups; with ``side``, among those of different sides."""
+    group, found = group.copy(), []
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        apart = group[a] != group[b]
+        a, b = a[apart], b[apart]
+        ok = similar_pairs([(texts[x], texts[y]) for x, y in zip(a.tolist(), b.tolist())], similarity, plain=False)
+        for x, y in zip(a[ok].tolist(), b[ok].tolist()):
+            if group[x] != group[y]:
+                group[group == group[y]] = group[x]
+                found.append((x, y))
+
+    waiting, n = [], 0
+    for x in range(len(h) - 1):
+        other = group[x + 1 :] != group[x]
+        if side is not None:
+            other &= side[x + 1 :] != side[x]
+        y = np.flatnonzero(other & near(fp[x + 1 :], fp[x : x + 1])) + x + 1
+        if len(y):
+            waiting.append((np.full(len(y), x), y))
+            n += len(y)
+        if n >= PAIRS_AT_ONCE:
+            compare(*map(np.concatenate, zip(*waiting)))
+            waiting, n = [], 0
+    if n:
+        compare(*map(np.concatenate, zip(*waiting)))
+    return found
+
+
+def _cells(crowded: DataFrame, texts: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Verified links (a, b) inside crowded buckets (key, h, fp, root, n), cell by cell: all candidates of different groups are compared."""
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    dealt = crowded.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    dealt = dealt.select("key", "h", "fp", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", "h", "fp", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "h")
+
+    def link(table: pa.Table) -> pa.Table:
+        h, at = np.unique(table["h"].to_numpy(), return_index=True)  # a line may stand in a bucket twice
+        fp, root, own = (table[c].to_numpy()[at] for c in ("fp", "root", "own"))
+        side = own if len(own) and own.min() != own.max() else None
+        pairs = _links(h, fp, root, side, table["norm"].combine_chunks().take(pa.array(at)).to_pylist(), similarity)
+        return pa.table({"a": pa.array([h[x] for x, _ in pairs], pa.int64()), "b": pa.array([h[y] for _, y in pairs], pa.int64())})
+
+    # Cells are few bytes but much work: a number of partitions that is asked for isn't made smaller by the size of what they hold.
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(link, "a bigint, b bigint")
+
+
+def _left_apart(members: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, small: int, chunk: int) -> DataFrame:
+    """Verified links (a, b) in buckets that hold several groups yet: all candidates there of different groups are compared."""
     mixed = _mixed(members, roots)
-    pairs = _all_pairs(mixed, small)
-    crowded = mixed.where(F.col("n") > small)
-    if not crowded.isEmpty():
-        again = _mixed(cut(_meet(_longer_keys(crowded, sketched))), roots)
-        pairs = pairs.unionByName(_all_pairs(again, small)).unionByName(_star(again.where("root != main")))
-    return pairs.distinct()
+    pairs = _verified(_all_pairs(mixed, small).distinct(), texts, similarity)
+    return pairs.unionByName(_cells(mixed.where(F.col("n") > small).select("key", "h", "fp", "root", "n"), texts, similarity, chunk))
 
 
 def _star(members: DataFrame) -> DataFrame:
     return members.where("near").select(F.least("centre", "h").alias("a"), F.greatest("centre", "h").alias("b"))
 
 
-def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, small: int = SMALL, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, small: int = SMALL, min_chars: int = MIN_CHARS, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, line) of the lines that are not their group's first occurrence; ``docs`` has doc_id and text."""
     read = cut(lines(docs, min_words, min_chars))
     found, sketched = read.where("keys is null").select("doc_id", "line", "h", "g"), read.where("keys is not null").select("h", "fp", "keys")
@@ -571,7 +606,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     release(docs.sparkSession)
     texts = cut(_texts(docs, cut(members.select("h").distinct()), min_words))
     roots = components(_verified(_star(members).distinct(), texts, similarity))
-    links = cut(_verified(_left_apart(members, sketched, roots, small), texts, similarity))
+    links = cut(_left_apart(members, texts, roots, similarity, small, chunk))
     if not links.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     release(docs.sparkSession)

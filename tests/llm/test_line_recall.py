@@ -124,3 +124,33 @@ def test_hot_keys_join_back_the_same(spark, monkeypatch):
         got = components.join_back(rows, few, "key", "count", keep=True).collect()
         assert sorted((r.key, r.x, r["count"]) for r in got) == want
         assert components.join_back(rows, few.limit(0), "key", "count").count() == 0
+
+
+def test_a_crowd_loses_no_candidate(documents):
+    """Lines that share a passage, each with a copy edited as much as the similarity allows: every near pair of the crowd is compared."""
+    import numpy as np
+
+    from .test_exact import groups
+
+    rng = random.Random(4)
+    said = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 10))) for _ in range(n))
+    passage, texts = said(9), []
+    for _ in range(150):
+        own = said(7).split()
+        texts.append(f"{passage} {' '.join(own)}")
+        for k in rng.sample(range(7), 3):
+            own[k] = said(1)
+        texts.append(f"{passage} {' '.join(own)}")
+    flat = "".join(texts).encode()
+    x = line_dedup.Lines(np.frombuffer(flat, dtype=np.uint8), np.cumsum([0, *map(len, texts)]), 1)
+    sketches = x.sketches(np.arange(len(texts)), x.chars())
+    both = set()
+    for line, fp, keys in sketches:  # candidates: a shared key, and lengths and bits that allow the similarity
+        for n, i in enumerate(line.tolist()):
+            met = (keys == keys[n]).any(axis=1) & line_dedup.near(fp.view(np.int64), fp.view(np.int64)[n : n + 1])
+            both |= {(i, j) for j in line[met].tolist()}
+    want = groups(list(range(len(texts))), lambda a, b: (a, b) in both and line_dedup.similar(texts[a], texts[b]))
+    assert 100 < len(set(want.values())) < len(texts) - 40
+    for options in ({}, {"small": 2, "chunk": 40}):
+        rows = line_dedup.dedup_lines(documents(texts), **options).collect()
+        assert {r.doc_id for r in rows if not r.n_removed} == set(want.values())
