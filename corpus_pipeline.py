@@ -25,7 +25,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Similarity 0.8 of five-word shingles."""
+    """Similarity 0.8 of five-word shingles: candidates by SimHash and by MinHash, then the exact check."""
     release(spark)
     return shingle_dedup.keep_one(docs)
 

@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands, exact check, connected groups.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash bands, exact check, connected groups.
+
+Candidates come from two sides.  SimHash fingerprints of the shingles that differ in at most ``simhash.BITS`` bits meet by Golay keys, as in
+``simhash``; a pair of the least similarity is rarely that near, so MinHash bands find the rest.
 
 Texts of equal shingle sets are one node from the start.  A band's key is made of ``ROWS`` minima
 of the set under hashes of their own; there are so many bands that a pair of exactly the least
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from . import sieve
+from . import sieve, simhash
 from .components import components, join_back
 from .storage import cut
 
@@ -81,7 +84,7 @@ def _band_keys(hashes: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int, n: int) -> DataFrame:
-    """(doc_id, h, keys) for each document: its shingle set's hash and its bands' keys."""
+    """(doc_id, h, fp, keys) for each document: its shingle set's hash, its SimHash fingerprint and its bands' keys."""
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -89,11 +92,23 @@ def _sketches(docs: DataFrame, shingle: int, n: int) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum((np.diff(before) > 0) * n))).astype(np.int32)
             keys = _band_keys(hashes, before, n).ravel() if len(hashes) else hashes
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(_set_hashes(hashes, before).view(np.int64)), lists], ["doc_id", "h", "keys"])
+            prints = simhash.text_prints(part.column(1), shingle)
+            made = [pa.array(_set_hashes(hashes, before).view(np.int64)), pa.array(prints.view(np.int64)), lists]
+            return pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", "h", "fp", "keys"])
 
         return work
 
-    return K.map_slices(docs, ["doc_id", "text"], "text", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, keys array<bigint>", make)
+    return K.map_slices(docs, ["doc_id", "text"], "text", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, fp bigint, keys array<bigint>", make)
+
+
+def _near_prints(sketched: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash: sets of one fingerprint beside its smallest, and the smallest of fingerprints that link."""
+    sets = cut(sketched.select("fp", "h").distinct())
+    least = cut(sets.groupBy("fp").agg(F.min("h").alias("least")))
+    equal = sets.join(least, "fp").where("h != least").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    of = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"h{side}"))
+    linked = simhash.links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    return equal.unionByName(linked).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -175,9 +190,11 @@ def near_duplicates(
     keyed = sketched.select("h", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").drop("most")
     met = cut(keyed.join(shared, "key").distinct())
-    wanted = cut(met.select("h").distinct())
+    by_prints = cut(_near_prints(sketched).distinct())
+    wanted = cut(met.select("h").unionByName(by_prints.select(F.col("a").alias("h"))).unionByName(by_prints.select(F.col("b").alias("h"))).distinct())
     texts = cut(_texts(docs, wanted, shingle))
-    links = cut(_verified(met.where("h != least").select(F.col("h").alias("a"), F.col("least").alias("b")).distinct(), texts, shingle, similarity))
+    by_bands = met.where("h != least").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    links = cut(_verified(by_prints.unionByName(by_bands).distinct(), texts, shingle, similarity))
 
     # What the comparison with the smallest leaves in several groups of a bucket.
     rooted = met.join(components(links).withColumnRenamed("node", "h"), "h", "left").select("key", "h", "least", F.coalesce("root", "h").alias("root"))

@@ -67,13 +67,18 @@ def _checked_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out, offsets + np.arange(n + 1)
 
 
+def text_prints(texts: pa.Array, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The fingerprints of a column of texts."""
+    return _fingerprints(*_checked_words(*K.string_buffer(texts)), shingle, seed)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
     """One row (doc_id, fp) for each document; ``fp`` holds the 64 bits of the fingerprint."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            prints = _fingerprints(*_checked_words(*K.string_buffer(part.column(1))), shingle, seed)
+            prints = text_prints(part.column(1), shingle, seed)
             return pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
         return work

@@ -68,3 +68,12 @@ def test_odd_texts(documents):
     got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(documents(ODD)).collect()}
     assert got == {i: ODD.index(t) if t and t.split() else 0 for i, t in enumerate(ODD)} | {12: 12, 8: 7}
     assert shingle_dedup.near_duplicates(documents(["x"]).limit(0)).count() == 0
+
+
+def test_pipeline_stage_has_its_simhash_step(spark, documents, monkeypatch):
+    """Without any band, what SimHash finds is linked yet, after the exact check; near fingerprints of unlike texts aren't."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join(words[:-1]), "a b", "a c", "a b", " ".join(words) + " " + words[0]]
+    monkeypatch.setattr(shingle_dedup, "bands", lambda similarity: 0)
+    kept = corpus_pipeline.dedup_documents(spark, documents(texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
