@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -40,7 +40,7 @@ _powers = (np.ones(1, dtype=U64), np.ones(1, dtype=U64))
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 4096)
+        size = 1 << max(16, int(n).bit_length())  # every worker keeps its tables
         tables = []
         for base in (_MULTIPLIER, _INVERSE):
             t = np.full(size, base, dtype=U64)

@@ -37,6 +37,7 @@ from .automaton import SuffixAutomaton
 
 REFERENCE_CHARS = 60_000
 BLOCK = 512
+MOVES_AT_ONCE = 1 << 14
 UNKNOWN = "und"
 _NEW = np.int32(1 << 30)
 _GRAIN = 1 << 24
@@ -113,24 +114,28 @@ class CrossParser:
         self.table = None
 
     def unpacked(self) -> CrossParser:
-        """A parser with its table."""
+        """A parser with its table, which is made in its place: workers have no room for a second copy."""
         out = copy(self)
-        tables = [self._table(*packed, int(at)) for packed, at in zip(self.packed, self.roots)]
-        out.table = np.concatenate(tables) if tables else None
+        if self.packed:
+            out.table = np.empty(sum(states * width for states, width, _ in self.packed), dtype=np.int32)
+            for (states, width, moves), at in zip(self.packed, self.roots):
+                self._fill(out.table[at : at + states * width].reshape(states, width), moves, int(at))
         return out
 
     @staticmethod
-    def _table(states: int, width: int, moves: np.ndarray, at: int) -> np.ndarray:
+    def _fill(table: np.ndarray, moves: np.ndarray, at: int) -> None:
         """For each state and symbol the next state (as the place of its row in the whole table) and whether a phrase begins."""
         state, symbol, to = moves.T
-        place = at + to * np.int32(width)
+        width = table.shape[1]
         root = np.full(width, at, dtype=np.int32)
-        root[symbol[state == 0]] = place[state == 0]
-        table = np.tile(root | _NEW, (states, 1))
-        inner = state > 0
-        table[state[inner], symbol[inner]] = place[inner]
+        first = state == 0
+        root[symbol[first]] = at + to[first] * np.int32(width)
+        table[:] = root | _NEW
+        for i in range(0, len(moves), MOVES_AT_ONCE):
+            state, symbol, to = moves[i : i + MOVES_AT_ONCE].T
+            inner = state > 0
+            table[state[inner], symbol[inner]] = at + to[inner] * np.int32(width)
         table[:, width - 1] = at
-        return table.ravel()
 
     def _phrases(self, language: int, columns: np.ndarray, alive: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Phrases of each block; ``columns[t]`` holds every block's byte number t, ``follows[b]`` the block before b or -1."""

@@ -1,11 +1,13 @@
 """Cross-parsing against a plain greedy parser, letters of all planes, and the reference sample."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import language_id
+from larder.llm import kernels, language_id
 
 
 def greedy(known, read):
@@ -70,3 +72,22 @@ def test_stage_keeps_columns_and_fills_missing_labels(documents):
     rows = language_id.keep_identified(docs).collect()
     assert {(r.doc_id, r.lang) for r in rows} == {(0, "en"), (1, "en"), (4, "en")} and {(r.c0, r.h) for r in rows} == {("x", 1)}
     assert language_id.keep_identified(docs.limit(0)).count() == 0
+
+
+def test_a_worker_holds_one_table_and_no_copy():
+    rng = random.Random(5)
+    parser = language_id.CrossParser({lang: "".join(rng.choice("abcdefghijklm ") for _ in range(6000)) for lang in ("a", "b", "c", "d")})
+    tracemalloc.start()
+    table = parser.unpacked().table
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.25 * table.nbytes
+
+
+def test_tables_of_powers_are_as_large_as_the_texts_need(monkeypatch):
+    monkeypatch.setattr(kernels, "_powers", (np.ones(1, dtype=np.uint64),) * 2)
+    for n, most in ((0, 1 << 17), (5000, 1 << 17), (200_000, 1 << 19)):
+        values = np.arange(n, dtype=np.uint64)
+        twice = kernels.RangeHash(np.concatenate((values, values)))
+        assert n == 0 or twice(np.array([0]), np.array([n])) == twice(np.array([n]), np.array([2 * n]))
+        assert len(kernels._powers[0]) <= most
