@@ -28,6 +28,7 @@ Which line is a bucket's centre depends on the order in which rows arrive; the g
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -62,6 +63,10 @@ GRAMS_AT_ONCE = 1 << 16
 CHUNK = 512
 PAIRS_AT_ONCE = 1 << 12
 SIDE_BY_SIDE = 1 << 14
+FEW_PAIRS = 10
+SPREAD = 1.5
+GATHERED = 8 << 20
+LOOK_EVERY = 16
 LENGTH_BITS = 9
 LENGTH_MASK = (1 << LENGTH_BITS) - 1
 LENGTH_STEP = 1.025
@@ -87,14 +92,19 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit vectors: a column of the table is one number of len(a) bits. Common ends cost nothing."""
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common ends, the longer first."""
     n = _common(a, b)
     a, b = a[n:], b[n:]
     n = _common(a[::-1], b[::-1])
     a, b = a[: len(a) - n], b[: len(b) - n]
-    if len(a) < len(b):
-        a, b = b, a
+    return (a, b) if len(a) >= len(b) else (b, a)
+
+
+def edit_distance(a: str, b: str, limit: float | None = None) -> int:
+    """Levenshtein distance by bit vectors: a column of the table is one number of len(a) bits. Common ends cost nothing.
+    With a ``limit`` a number beyond it stands for all distances beyond it, and is given as soon as it is sure."""
+    a, b = _trimmed(a, b)
     if not b:
         return len(a)
     full = (1 << len(a)) - 1
@@ -103,7 +113,7 @@ def edit_distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     up, down, distance = full, 0, len(a)
-    for c in b:
+    for j, c in enumerate(b, 1):
         eq = where.get(c, 0)
         diagonal = (((eq & up) + up) ^ up) | eq | down
         more = down | ~(diagonal | up) & full
@@ -116,6 +126,10 @@ def edit_distance(a: str, b: str) -> int:
         less = less << 1 & full
         up = less | ~(diagonal | more) & full
         down = more & diagonal
+        if limit is not None and not j % LOOK_EVERY:  # values never fall along the diagonal that ends in the distance
+            ahead = (1 << j + len(a) - len(b)) - 1
+            if (least := j + (up & ahead).bit_count() - (down & ahead).bit_count()) > limit:
+                return least
     return distance
 
 
@@ -152,40 +166,45 @@ def similar_pairs(pairs: list[tuple[str, str]], least: float = SIMILARITY, plain
     """``similar`` for many pairs: those of nearly the same length that the plain way of editing doesn't settle are compared side by side.
     Without ``plain`` all of them are, which is quicker where few are similar."""
     out = np.zeros(len(pairs), dtype=bool)
-    longer = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
-    order = []
-    for i, (a, b) in enumerate(longer):
-        limit = _limit(a, b, least)
-        if len(a) - len(b) <= limit:
-            out[i] = a == b or (plain and within(a, b, limit))
+    limits = np.zeros(len(pairs))
+    order, rest = [], {}
+    for i, (a, b) in enumerate(pairs):
+        limits[i] = limit = _limit(a, b, least)
+        if abs(len(a) - len(b)) > limit:
+            continue
+        out[i] = a == b or (plain and within(a, b, limit))
+        if not out[i]:
+            a, b = _trimmed(a, b)
+            out[i] = len(a) <= limit or not b
             if not out[i]:
+                rest[i] = (a, b)
                 order.append(i)
-    order.sort(key=lambda i: len(longer[i][0]))
+    order.sort(key=lambda i: len(rest[i][0]))
     at = 0
     while at < len(order):
-        blocks = -(-max(64, 1.2 * len(longer[order[at]][0])) // 64)
+        blocks = -(-max(64, SPREAD * len(rest[order[at]][0])) // 64)
         end = at
-        while end < len(order) and end - at < SIDE_BY_SIDE // blocks and len(longer[order[end]][0]) <= 64 * blocks:
+        while end < len(order) and end - at < SIDE_BY_SIDE // blocks and len(rest[order[end]][0]) <= 64 * blocks:
             end += 1
         some = order[at : max(end, at + 1)]
         at += len(some)
-        if len(some) < 16 * blocks:  # too few to be worth it
+        if len(some) < FEW_PAIRS * blocks:  # too few to be worth it
             for i in some:
-                out[i] = edit_distance(*longer[i]) <= _limit(*longer[i], least)
+                out[i] = edit_distance(*rest[i], limits[i]) <= limits[i]
         else:
-            limits = np.array([_limit(*longer[i], least) for i in some])
-            out[some] = _distances([longer[i] for i in some], int(blocks), int(limits.max())) <= limits
+            out[some] = _distances([rest[i] for i in some], int(blocks), limits[some]) <= limits[some]
     return out
 
 
-def _distances(pairs: list[tuple[str, str]], blocks: int, most: int) -> np.ndarray:
-    """Levenshtein distances, where they are no more than ``most`` (larger ones come out larger than that), of pairs whose first
-    text, the longer one, fills up to ``blocks`` words of 64 bits: a column of all tables at a time, and of it only the blocks near the diagonal."""
+def _distances(pairs: list[tuple[str, str]], blocks: int, limits: np.ndarray) -> np.ndarray:
+    """Levenshtein distances, where they are within the pairs' ``limits`` (larger ones come out larger than that), of pairs whose first
+    text, the longer one, fills up to ``blocks`` words of 64 bits: a column of all tables at a time, of it only the blocks near the diagonals
+    between the tables' corners, and only of pairs that may stay within their limits yet."""
     n = len(pairs)
     size = np.array([len(a) for a, _ in pairs])
     width = np.array([len(b) for _, b in pairs])
     order = np.argsort(-width, kind="stable")  # longest second text first: columns end at the back
-    pairs, size, width = [pairs[i] for i in order.tolist()], size[order], width[order]
+    pairs, size, width, limits = [pairs[i] for i in order.tolist()], size[order], width[order], np.floor(limits[order]).astype(np.int64)
     points = [np.frombuffer("".join(x[k] for x in pairs).encode("utf-32-le", "surrogatepass"), dtype="<u4") for k in (0, 1)]
     letters, number = np.unique(points[0], return_inverse=True)
     there = np.zeros((len(letters) + 1) * blocks * n, dtype=K.U64)  # by letter, block and pair: the letter's places; the last letter is none
@@ -196,24 +215,30 @@ def _distances(pairs: list[tuple[str, str]], blocks: int, most: int) -> np.ndarr
     text = np.full((n, int(width[0]) if n else 0), len(letters), dtype=np.int64)
     text[np.arange(text.shape[1])[None, :] < width[:, None]] = found
     text = np.ascontiguousarray(text.T) * (blocks * n) + np.arange(n)
-    one, none = K.U64(1), np.zeros(n, dtype=K.U64)
+    one = K.U64(1)
     up, down = np.full((blocks, n), ~K.U64(0)), np.zeros((blocks, n), dtype=K.U64)
     bottom = np.minimum(np.arange(1, blocks + 1)[:, None] * 64, size[None, :])  # a block's last row
     last = ((bottom - 1) % 64).astype(K.U64)
     score = bottom.astype(np.int64)
-    own = np.maximum(size - 1, 0) // 64  # the block of a text's last row
-    result = size.copy()  # of empty second texts
-    alive = np.searchsorted(-width, -np.arange(len(text)), side="left")
+    result = np.maximum(size, limits + 1)
+    result[width == 0] = size[width == 0]
+    further = size - width
+    above, below = int(((limits - further) // 2).max()), int(((limits + further) // 2).max())  # a way within the limit strays so far from the diagonal of the first corner
+    who = np.flatnonzero(width)  # the pairs that are still looked at
+    m = len(who)
+    if m < n:
+        up, down, bottom, last, score = (x[:, who] for x in (up, down, bottom, last, score))
     active = 0
     for j in range(len(text)):
-        m = int(alive[j])
-        first = max(0, (j - most - 64) // 64)
-        while active < blocks and 64 * active <= j + most + 1:
+        if not m:
+            break
+        first = max(0, (j - above) // 64)
+        while active < blocks and 64 * active <= j + below + 1:
             if active and j:
                 score[active] = score[active - 1] + (bottom[active] - bottom[active - 1])
             active += 1
-        more, less = np.ones(m, dtype=K.U64), none[:m]
-        row = text[j, :m]
+        more, less = np.ones(m, dtype=K.U64), np.zeros(m, dtype=K.U64)
+        row = text[j, who[:m]]
         for w in range(first, active):
             eq, p, d, bit = there[row + w * n], up[w, :m], down[w, :m], last[w, :m]
             beside = eq | d
@@ -222,15 +247,29 @@ def _distances(pairs: list[tuple[str, str]], blocks: int, most: int) -> np.ndarr
             plus = d | ~(across | p)
             minus = p & across
             out_more, out_less = plus >> bit & one, minus >> bit & one
-            score[w, :m] += out_more.astype(np.int64) - out_less.astype(np.int64)
+            score[w, :m] += out_more.view(np.int64) - out_less.view(np.int64)
             plus = plus << one | more
             minus = minus << one | less
             up[w, :m] = minus | ~(beside | plus)
             down[w, :m] = plus & beside
             more, less = out_more, out_less
-        ended = np.flatnonzero(width[:m] == j + 1)
-        if len(ended):
-            result[ended] = np.where(active > own[ended], score[own[ended], ended], size[ended] + most + 1)
+        was = m
+        while m and width[who[m - 1]] == j + 1:
+            m -= 1
+        if m < was:
+            ended = np.arange(m, was)
+            own = (size[who[ended]] - 1) // 64  # the block of a text's last row
+            result[who[ended]] = np.where(active > own, score[np.minimum(own, active - 1), ended], result[who[ended]])
+        if not (j + 1) % LOOK_EVERY and m:  # values never fall along the diagonal that ends in the distance
+            spot = j + further[who[:m]]
+            w, at = spot // 64, np.arange(m)
+            beyond = (K.U64(2) << (spot % 64).astype(K.U64)) - one  # of the block's rows those to the spot
+            rows = ((K.U64(2) << last[w, at]) - one) & ~beyond
+            value = score[w, at] - np.bitwise_count(up[w, at] & rows).astype(np.int64) + np.bitwise_count(down[w, at] & rows)
+            keep = np.flatnonzero(value <= limits[who[:m]])
+            if m - len(keep) > m // 16:
+                who, m = who[keep], len(keep)
+                up, down, bottom, last, score = (x[:, keep] for x in (up, down, bottom, last, score))
     out = np.empty(n, dtype=np.int64)
     out[order] = result
     return out
@@ -503,15 +542,31 @@ def _meet(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, h bigint, fp bigint, centre bigint, near boolean, more boolean")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that hold ``GATHERED`` bytes together: the more pairs, the more of a length can be compared side by side."""
+    some, held = [], 0
+    for batch in batches:
+        some.append(batch)
+        held += batch.nbytes
+        if held >= GATHERED:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     with_a = pairs.join(texts.select(F.col("h").alias("a"), F.col("norm").alias("na")), "a")
     both = with_a.join(texts.select(F.col("h").alias("b"), F.col("norm").alias("nb")), "b")
 
     @K.tidied
     def run(batches):
-        for batch in batches:
-            ok = similar_pairs(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+        for some in _gathered(batches):
+            ok = similar_pairs([p for x in some for p in zip(x.column(2).to_pylist(), x.column(3).to_pylist())], similarity)
+            at = 0
+            for x in some:
+                yield x.select(["a", "b"]).filter(pa.array(ok[at : at + x.num_rows]))
+                at += x.num_rows
 
     return both.select("a", "b", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 

@@ -154,3 +154,24 @@ def test_a_crowd_loses_no_candidate(documents):
     for options in ({}, {"small": 2, "chunk": 40}):
         rows = line_dedup.dedup_lines(documents(texts), **options).collect()
         assert {r.doc_id for r in rows if not r.n_removed} == set(want.values())
+
+
+def test_pairs_beyond_their_limits_are_given_up_early():
+    rng = random.Random(6)
+    said = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    assert line_dedup.edit_distance(said(4000), "xyz" * 1300, 100) < 300
+    pairs = []
+    for n in (30, 70, 130, 300, 700):
+        for _ in range(120):  # half of them share a passage at their beginning, end or middle; many are just within or beyond their limits
+            a, b = said(n), list(said(n))
+            lo = rng.choice([0, 0, n // 5, n // 2])
+            b[lo : lo + rng.choice([n, n * 4 // 5, n // 2, 0])] = a[lo : lo + rng.choice([n, n * 4 // 5, n // 2])]
+            pairs.append((a, "".join(b)))
+    far = [line_dedup.edit_distance(a, b) for a, b in pairs]
+    limits = [(1 - 0.8) * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    for (a, b), d, limit in zip(pairs, far, limits):
+        got = line_dedup.edit_distance(a, b, limit)
+        assert got == d if d <= limit else got > limit
+    for plain in (True, False):
+        assert line_dedup.similar_pairs(pairs, plain=plain).tolist() == [d <= limit for d, limit in zip(far, limits)]
+    assert 50 < sum(d <= limit for d, limit in zip(far, limits)) < 550
