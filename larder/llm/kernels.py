@@ -102,11 +102,16 @@ def slices(batch: pa.RecordBatch, column: str | int, size: int = SLICE_BYTES) ->
 
 def find_words(buf: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes, and the number of words before each row."""
-    inside = in_word[buf]
+    starts, ends = find_runs(in_word[buf], offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def find_runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values within the rows."""
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
-    row_starts = offsets[:-1][offsets[:-1] < len(buf)]
+    row_starts = offsets[:-1][offsets[:-1] < len(inside)]
     before[row_starts] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
@@ -114,8 +119,7 @@ def find_words(buf: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tup
     after[:-1] = inside[1:]
     row_ends = offsets[1:][offsets[1:] > 0] - 1
     after[row_ends] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    return starts, np.flatnonzero(inside & ~after) + 1
 
 
 _SPREAD = np.array([sum(1 << 8 * i for i in range(8) if b >> i & 1) for b in range(256)], dtype=U64)

@@ -28,6 +28,8 @@ Which line is a bucket's centre depends on the order in which rows arrive; the g
 from __future__ import annotations
 
 import hashlib
+import itertools
+import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -66,6 +68,12 @@ SIDE_BY_SIDE = 1 << 14
 FEW_PAIRS = 10
 SPREAD = 1.5
 GATHERED = 8 << 20
+PACKED = 1 << 13
+BLOCK_BITS = 12
+SPLIT_BITS = 6
+DEALT = 1 << 18
+AT_ONCE = 1 << 16
+AT_MOST = 1 << 20
 LOOK_EVERY = 16
 LENGTH_BITS = 9
 LENGTH_MASK = (1 << LENGTH_BITS) - 1
@@ -284,7 +292,8 @@ class Lines:
             second = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
             low[1:][second] += 0x20
         self.low = low
-        self.starts, self.ends, _ = K.find_words(low, offsets, _WORD_BYTE)
+        self.inside = _WORD_BYTE[low]
+        self.starts, self.ends = K.find_runs(self.inside, offsets)
         breaks = np.flatnonzero(low == 0x0A)
         some = np.flatnonzero(np.diff(offsets))
         cuts = np.unique(np.concatenate((offsets[some], breaks + 1, offsets[-1:])))
@@ -311,12 +320,14 @@ class Lines:
 
     def normalised(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The normalised bytes of all lines, a blank behind each word, and where each line starts and ends there."""
-        inside = _WORD_BYTE[self.low]
-        keep = inside.copy()
-        keep[1:] |= inside[:-1]
-        flat = np.where(inside, self.low, 0x20)[keep].astype(np.uint8)
-        place = np.cumsum(keep, dtype=np.int64) - 1
-        return flat.tobytes(), place[self.starts[self.lo]], place[self.ends[self.hi - 1] - 1] + 1
+        keep = self.inside.copy()
+        keep[1:] |= self.inside[:-1]
+        flat = self.low[keep].tobytes().translate(_BLANKED)
+        step = self.ends - self.starts
+        step[:-1] += self.starts[1:] > self.ends[:-1]  # no byte is between the last word of a text and the first of the next
+        place = np.cumsum(step) - step
+        last = self.hi - 1
+        return flat, place[self.lo], place[last] + self.ends[last] - self.starts[last]
 
     def sketches(self, lines: np.ndarray, chars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(lines, fp, keys) by class of lengths: which of ``lines`` are in it, what stands for their lengths and grams, and their keys."""
@@ -357,9 +368,9 @@ _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 def _word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     eight, size = _eights(low), ends - starts
-    out = size.astype(K.U64) * K.U64(0xD6E8FEB86659FD93)
-    rest = np.arange(len(starts))
-    k = 0
+    out = K.mix(size.astype(K.U64) * K.U64(0xD6E8FEB86659FD93) ^ (eight[starts] & _MASKS[np.minimum(size, 8)]))
+    rest = np.flatnonzero(size > 8)
+    k = 8
     while len(rest):  # eight bytes of each word that is so long
         at = starts[rest] + k
         out[rest] = K.mix(out[rest] ^ (eight[at] & _MASKS[np.minimum(size[rest] - k, 8)]))
@@ -438,9 +449,9 @@ class _Unseen:
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line, h, g, fp, keys): for each line of enough words its two hashes, and for those of ``min_chars`` or more that are new to a
-    task, in further rows without an id, their sketches.  ``docs`` has doc_id and text."""
-    names = ["doc_id", "line", "h", "g", "fp", "keys"]
+    """(doc_id, line, h, g, bands, sketches): for each line of enough words its two hashes, and for those of ``min_chars`` or more that are new to
+    a task, in further rows without an id, their sketches (``_packed``), many in a row.  ``docs`` has doc_id and text."""
+    names = ["doc_id", "line", "h", "g", "bands", "sketches"]
 
     def make():
         unseen = _Unseen()
@@ -449,23 +460,121 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHAR
             x = Lines(*K.string_buffer(part.column(1)), min_words)
             if not len(x.row):
                 return
-            empty = [pa.nulls(len(x.row), pa.int64()), pa.nulls(len(x.row), pa.list_(pa.int64()))]
+            empty = [pa.nulls(len(x.row), pa.int32()), pa.nulls(len(x.row), pa.binary())]
             made = [pa.array(x.number.astype(np.int32)), pa.array(x.hashes.view(np.int64)), pa.array(x.checks().view(np.int64))]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(x.row)), *made, *empty], names)
             size = x.chars()
             new = unseen(np.flatnonzero(size >= min_chars), x.hashes)
             for line, fp, keys in x.sketches(new, size[new]) if len(new) else ():
-                n = len(line)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1], pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                none = [pa.nulls(n, part.column(0).type), pa.nulls(n, pa.int32()), pa.array(x.hashes[line].view(np.int64)), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(fp.view(np.int64)), lists], names)
+                for i in range(0, len(line), PACKED):
+                    none = [pa.nulls(1, t) for t in (part.column(0).type, pa.int32(), pa.int64(), pa.int64())]
+                    some = _packed(x.hashes[line[i : i + PACKED]], fp[i : i + PACKED], keys[i : i + PACKED])
+                    yield pa.RecordBatch.from_arrays([*none, pa.array([keys.shape[1]], pa.int32()), pa.array([some], pa.binary())], names)
 
         return work
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, h bigint, g bigint, fp bigint, keys array<bigint>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line int, h bigint, g bigint, bands int, sketches binary"
     return K.map_slices(docs, ["doc_id", "text"], "text", schema, make)
 
 
+def _packed(h: np.ndarray, fp: np.ndarray, keys: np.ndarray) -> bytes:
+    """Hashes, what stands for lengths and grams, and keys of some lines, as 64-bit numbers one behind the other."""
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (h, fp, keys))
+
+
+def _entries(packed: bytes, bands: int) -> np.ndarray:
+    """What ``_packed`` holds as rows (key, h, fp), one for each key of each line."""
+    numbers = np.frombuffer(packed, dtype=np.int64)
+    n = len(numbers) // (2 + bands)
+    out = np.empty((n * bands, 3), dtype=np.int64)
+    out[:, 0] = numbers[2 * n :]
+    out[:, 1], out[:, 2] = (np.repeat(numbers[i * n : (i + 1) * n], bands) for i in (0, 1))
+    return out
+
+
+def _blocks(entries: np.ndarray) -> pa.RecordBatch:
+    """(block, entries): the entries by the first bits of their keys, as bytes."""
+    block = (entries[:, 0].view(K.U64) >> K.U64(64 - BLOCK_BITS)).astype(np.uint16)
+    entries = entries[np.argsort(block, kind="stable")]
+    size = np.bincount(block, minlength=1 << BLOCK_BITS)
+    some = np.flatnonzero(size)
+    ends = np.concatenate(([0], np.cumsum(size[some]))) * entries.itemsize * 3
+    made = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(entries)])
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), made], ["block", "entries"])
+
+
+def _dealt(sketched: DataFrame) -> DataFrame:
+    """(block, entries) of the rows (bands, sketches)."""
+
+    @K.tidied
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for bands, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(_entries(packed, bands))
+                n += len(held[-1])
+                if n >= DEALT:
+                    yield _blocks(np.concatenate(held))
+                    held, n = [], 0
+        if held:
+            yield _blocks(np.concatenate(held))
+
+    return sketched.mapInArrow(run, "block int, entries binary")
+
+
+def _undivided(parts: Iterator[np.ndarray], bits: int, most: int) -> Iterator[np.ndarray]:
+    """Entries that agree in the first ``bits`` of their keys, in pieces of some ``most`` entries that share no key, unless they hold that key only.  What is
+    larger is split by the next bits, in files of the task's own."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n <= most:
+            continue
+        if bits < 64:
+            break
+        yield np.concatenate(held)
+        held, n = [], 0
+    if n > most:
+        more = min(SPLIT_BITS, 64 - bits)
+        with tempfile.TemporaryDirectory() as folder:
+            names = [f"{folder}/{i}" for i in range(1 << more)]
+            for part in itertools.chain(held, parts):
+                which = part[:, 0].view(K.U64) << K.U64(bits) >> K.U64(64 - more)
+                for i in np.unique(which).tolist():
+                    with open(names[i], "ab") as file:
+                        file.write(part[which == i].tobytes())
+            held = []
+            for name in names:
+                yield from _undivided(_read(name, most), bits + more, most)
+    elif held:
+        yield np.concatenate(held)
+
+
+def _read(name: str, most: int) -> Iterator[np.ndarray]:
+    try:
+        with open(name, "rb") as file:
+            while some := file.read(24 * most):
+                yield np.frombuffer(some, dtype=np.int64).reshape(-1, 3)
+    except FileNotFoundError:  # no entry has these bits
+        return
+
+
+def _whole(rows: Iterator[tuple[int, np.ndarray]], enough: int = AT_ONCE, most: int = AT_MOST) -> Iterator[np.ndarray]:
+    """Entries of (block, entries), sorted by block, some ``enough`` of them together: all of a key's behind one another, and no key in two pieces
+    unless one holds that key only."""
+    held, n = [], 0
+    for _, some in itertools.groupby(rows, lambda x: x[0]):
+        for part in _undivided((x for _, x in some), BLOCK_BITS, most):
+            held.append(part)
+            n += len(part)
+            if n >= enough:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """(h, norm) of lines whose hash is in ``wanted``; a bitmap keeps most others out of the shuffle.  Different lines of one hash are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve.bitmap(wanted, "h", wanted.count()))
@@ -529,17 +638,23 @@ class _Buckets:
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in made], ["key", "h", "fp", "centre", "near", "more"])
 
 
-def _meet(keyed: DataFrame) -> DataFrame:
-    """(key, h, fp, centre, near, more) for the lines that share a key with another; now and then a line stands in a bucket twice.
-    ``more`` is false where the bucket surely holds two lines only."""
+def _meet(sketched: DataFrame) -> DataFrame:
+    """(key, h, fp, centre, near, more) for the lines of (bands, sketches) that share a key with another; now and then a line stands in a bucket twice.
+    ``more`` is false where the bucket surely holds two lines only.  Rows are dealt out by blocks of keys, thousands of entries in a row."""
+
+    def rows(batches):
+        for batch in batches:
+            for block, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield block, np.frombuffer(entries, dtype=np.int64).reshape(-1, 3)
 
     @K.tidied
     def run(batches):
         walk = _Buckets()
-        for batch in batches:
-            yield walk.take(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        for entries in _whole(rows(batches)):
+            yield walk.take(*entries.T)
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, h bigint, fp bigint, centre bigint, near boolean, more boolean")
+    met = _dealt(sketched).repartition("block").sortWithinPartitions("block")
+    return met.mapInArrow(run, "key bigint, h bigint, fp bigint, centre bigint, near boolean, more boolean")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -656,8 +771,8 @@ def _star(members: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, small: int = SMALL, min_chars: int = MIN_CHARS, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, line) of the lines that are not their group's first occurrence; ``docs`` has doc_id and text."""
     read = cut(lines(docs, min_words, min_chars))
-    found, sketched = read.where("keys is null").select("doc_id", "line", "h", "g"), read.where("keys is not null").select("h", "fp", "keys")
-    members = cut(_meet(sketched.select(F.explode("keys").alias("key"), "h", "fp")))
+    found, sketched = read.where("sketches is null").select("doc_id", "line", "h", "g"), read.where("sketches is not null").select("bands", "sketches")
+    members = cut(_meet(sketched))
     release(docs.sparkSession)
     texts = cut(_texts(docs, cut(members.select("h").distinct()), min_words))
     roots = components(_verified(_star(members).distinct(), texts, similarity))

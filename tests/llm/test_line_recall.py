@@ -175,3 +175,40 @@ def test_pairs_beyond_their_limits_are_given_up_early():
     for plain in (True, False):
         assert line_dedup.similar_pairs(pairs, plain=plain).tolist() == [d <= limit for d, limit in zip(far, limits)]
     assert 50 < sum(d <= limit for d, limit in zip(far, limits)) < 550
+
+
+def test_keys_of_blocks_stay_whole_and_none_is_lost():
+    """Entries dealt out in blocks come back as they were: each key in one piece, in files where a block is too large, a very frequent key too."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h, fp = rng.integers(-(1 << 63), 1 << 63, (2, 300), dtype=np.int64)
+    keys = rng.integers(0, 1 << 64, (300, 4), dtype=np.uint64) >> np.uint64(1) << np.uint64(1)
+    keys[:120, 0] = keys[0, 0]  # a key that many lines have, between others of its block
+    keys[120:180, 1] = keys[0, 0] + np.arange(60, dtype=np.uint64)
+    entries = line_dedup._entries(line_dedup._packed(h, fp, keys), 4)
+    want = sorted((k, a, b) for row, a, b in zip(keys.view(np.int64).tolist(), h.tolist(), fp.tolist()) for k in row)
+    assert sorted(map(tuple, entries.tolist())) == want
+    rows = []
+    for part in (entries[:500], entries[500:]):
+        made = line_dedup._blocks(part)
+        rows += [(b, np.frombuffer(x, dtype=np.int64).reshape(-1, 3)) for b, x in zip(made["block"].to_pylist(), made["entries"].to_pylist())]
+    rows.sort(key=lambda x: x[0])
+    for enough, most in ((1, 10), (1, 100), (50, 1000), (1 << 20, 1 << 20)):
+        pieces = list(line_dedup._whole(iter(rows), enough, most))
+        assert sorted(tuple(x) for p in pieces for x in p.tolist()) == want
+        for key in {k for k, _, _ in want}:
+            at = [i for i, p in enumerate(pieces) if (p[:, 0] == key).any()]
+            assert at == list(range(at[0], at[-1] + 1))  # the walk goes on with a key in the next piece only
+        walk = line_dedup._Buckets()
+        met = [b for p in pieces for b in walk.take(*p.T)["key"].to_pylist()]
+        assert met.count(int(keys.view(np.int64)[0, 0])) >= 120
+
+
+def test_keys_are_dealt_out_many_in_a_row(documents):
+    """A row for each key of each line took most of the time of meeting."""
+    texts = [f"line {i} has words of its own, {i * i} and {i * 7} of them" for i in range(4000)]
+    read = line_dedup.lines(documents(texts)).where("sketches is not null").select("bands", "sketches")
+    n = sum((len(r.sketches) // 8 // (2 + r.bands)) * r.bands for r in read.collect())
+    dealt = line_dedup._dealt(read).collect()
+    assert n >= 4000 * 10 and sum(len(r.entries) for r in dealt) == 24 * n and len(dealt) <= n / 2
