@@ -7,7 +7,7 @@ of at least ``MIN_CHARS`` normalised characters are compared further.
 
 A line's grams are runs of bytes, of 5, 7 or 8 by its length (``CLASSES``; the classes overlap by what the
 similarity allows, so that two similar lines always share one; of long lines one gram in four counts, chosen by the gram's hash).
-A key is made of ``ROWS`` MinHash minima of the grams.  Lines that share a key are candidates where their lengths allow the
+A key is made of ``ROWS`` MinHash minima of the grams; keys are dealt out in blocks, packed (``_meet``).  Lines that share a key are candidates where their lengths allow the
 similarity and where single bits of ``BITS`` minima, put beside the length in one word, differ in at most ``BITS_APART`` places
 (chance neighbours differ in about 20).  Candidates are verified by edit similarity (at least ``SIMILARITY``
 of the longer line's characters), and one occurrence for each connected group stays: the first by (doc_id, line).
